@@ -16,6 +16,35 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _judged(rows: DataFrame, level: float) -> DataFrame:
+    from .neural import fold
+
+    held = (fold("doc_id", 3) == 1).alias("held_out")
+    return rows.select("doc_id", held, "score", (F.col("score") >= level).cast("int").alias("predicted"))
+
+
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_mil import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return _judged(score(docs, fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+    from .neural import fold
+
+    docs = table(spark, sf_dir, "documents")
+    rows = predict(docs, fit(docs))
+    return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -23,6 +52,13 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_window_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import LEVEL, fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return _judged(score(docs, fit(docs, table(spark, sf_dir, "labels"))), LEVEL)
+
+
 def op9_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -36,7 +72,16 @@ def op10_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_groups, op9_dp_packing, op10_elias_fano_tokens)}
+    own = (
+        op1_benchmark_leaks,
+        op2_attention_quality,
+        op3_byte_gru_language,
+        op6_simhash_groups,
+        op8_window_toxicity,
+        op9_dp_packing,
+        op10_elias_fano_tokens,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
