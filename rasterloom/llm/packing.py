@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import small_batches
-from .tokens import ChunkEncoder, crc_of
+from .tokens import Encoder, crc_of
 
 LIMIT = 2048
 HORIZON = 1 << 21
@@ -99,7 +99,7 @@ def _packer(path: str, end_id: int, limit: int, horizon: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder = ChunkEncoder(path, space_is_content=True)
+        encoder = Encoder.of(path, True)
         vocab = encoder.tok.get_vocab_size()
         enders = np.zeros(vocab, bool)
         for token, k in encoder.tok.get_vocab().items():

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_path, small_batches
-from .tokens import ChunkEncoder, crc_of
+from .tokens import Encoder, crc_of
 
 MAGIC = b"RLTOK1\0\0"
 SAMPLE = 64
@@ -153,7 +153,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, shard_tokens: int) -> Call
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder = ChunkEncoder(tokenizer, space_is_content=False)
+        encoder = Encoder.of(tokenizer, False)
         store, root = _store(folder)
         ids: list[int | None] = []
         docs: list[np.ndarray] = []
