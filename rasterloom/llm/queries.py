@@ -45,6 +45,21 @@ def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import edited_digests
+
+    return edited_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths, so each gets source/thousands/hundreds/doc_id."""
+    from .licenses import scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.col("doc_id"))
+    return scan(docs, path)
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -52,6 +67,12 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_window_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import LEVEL, fit, score
 
@@ -76,7 +97,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_benchmark_leaks,
         op2_attention_quality,
         op3_byte_gru_language,
+        op4_canonical_digest,
+        op5_licence_scan,
         op6_simhash_groups,
+        op7_bootstrapped_pii,
         op8_window_toxicity,
         op9_dp_packing,
         op10_elias_fano_tokens,
