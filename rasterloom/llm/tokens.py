@@ -7,13 +7,15 @@ doubtful are encoded whole.
 
 * Byte-level vocabulary (the white space belongs to the ids): cuts before single
   spaces between two visible characters.
-* Word vocabulary (lower case, white space dropped): cuts at white space and
-  around full stops and commas that touch no other symbol.
+* Word vocabulary (lower case, white space dropped): cuts at white space.  A part
+  made of letters and then ASCII symbols is two pre-tokens, so the letters are
+  looked up by themselves.
 
 Parts that are not in the cache are encoded together.  For the byte-level
 vocabulary that is done by tiktoken over the merges of the same JSON file, which
 takes a fifth of the time; its ids are compared with the tokenizers library's
-when an encoder is made, and the library does the work if they differ.
+when an encoder is made, and the library does the work if they differ.  Single
+words of the word vocabulary go straight to the library's BPE model.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
-CACHE_PARTS = 300_000
+CACHE_PARTS = 450_000
 CACHE_CHARS = 48
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
-_DOUBT = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|[_\x1c-\x1fΣͅ]")
+_ODD = re.compile(r"[\x1c-\x1f]")  # white space to Python only
+_TAIL = ".,!?;:*$%&#)|\"-"
 _PROBE = "It's 3 o'clock,  naïve\n\n\tX_1 — 'll 漢字 éÉ   end. $$$!? \x00 <|endoftext|> aaaa\n"
 _MADE: dict[tuple[str, bool], Encoder] = {}
 
@@ -84,14 +88,14 @@ class Encoder:
         vocab = self.tok.get_vocab()
         size = max(vocab.values(), default=0) + 1
         self.dtype = np.dtype("<u2") if size <= 65_536 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[str, bytes] = {}
         # Unknown parts are encoded as one text with a NUL between them, if NUL has an id that takes part in no merge.
         self.glue = "\0" if byte_level else " \0 "
         nul = self._library("\0")
         own = sum(chr(256) in t for t in vocab) <= (1 if byte_level else 2)
         self.nul = nul[0] if len(nul) == 1 and own else None
-        self.last = np.zeros(size, bool)  # ids that end a word of the word vocabulary
-        self.last[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        self.written = {b: c for c, b in _byte_alphabet().items()}
         self.engine = self._library
         if byte_level:
             try:
@@ -119,11 +123,32 @@ class Encoder:
         ids = np.array(self.engine(joined), self.dtype)
         return self._split(ids, np.r_[np.flatnonzero(ids == self.nul), len(ids)], 1)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Words of letters only: each is one pre-token, whose last id tells its end."""
-        ids = np.array(self.engine(" ".join(words)), self.dtype)
-        stops = np.flatnonzero(self.last[ids]) + 1
-        return self._split(ids, stops, 0) if len(stops) == len(words) else self._many(words)
+    def _word(self, word: str) -> bytes:
+        """A lower-case word of letters only: one pre-token, so the BPE model alone is enough."""
+        own = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1").translate(self.written)
+        return array(self.code, [t.id for t in self.tok.model.tokenize(own)]).tobytes()
+
+    def _new_parts(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case parts without white space."""
+        new: dict[str, bytes] = {}
+        rest = []
+        for part in missing:
+            core = part.rstrip(_TAIL)
+            if not core.isalpha():
+                rest.append(part)
+                continue
+            ids = self.cache.get(core) or new.get(core)
+            if ids is None:
+                ids = new[core] = self._word(core)
+            tail = part[len(core) :]
+            if tail:
+                end = self.cache.get(tail) or new.get(tail)
+                if end is None:
+                    end = new[tail] = self._raw(tail)
+                new[part] = ids + end
+        if rest:
+            new |= zip(rest, self._many(rest))
+        return new
 
     def _cached(self, parts: list[str], lead: str) -> list[bytes]:
         cache = self.cache
@@ -133,10 +158,7 @@ class Encoder:
             if self.byte_level:
                 new = dict(zip(missing, self._many([lead + c for c in missing])))
             else:
-                words, rest = [c for c in missing if c.isalpha()], [c for c in missing if not c.isalpha()]
-                new = dict(zip(words, self._words(words))) if words else {}
-                if rest:
-                    new |= zip(rest, self._many(rest))
+                new = self._new_parts(missing)
             if len(cache) + len(new) > CACHE_PARTS:
                 cache.clear()
             got = [new[c] if g is None else g for c, g in zip(parts, got)]
@@ -153,8 +175,7 @@ class Encoder:
             parts = _CUT.split(text) if doubt else text.split(" ")
             out = [self._raw(parts[0]), *self._cached(parts[1:], " "), end]
         else:
-            low = text.lower()
-            if _DOUBT.search(text) or _DOUBT.search(low) or not unicodedata.is_normalized("NFC", text):
+            if _ODD.search(text) or "Σ" in text or not unicodedata.is_normalized("NFC", text):
                 return np.frombuffer(self._raw(text) + end, self.dtype)
-            out = [*self._cached(low.replace(".", " . ").replace(",", " , ").split(), ""), end]
+            out = [*self._cached(text.lower().split(), ""), end]
         return np.frombuffer(b"".join(out), self.dtype)
