@@ -17,6 +17,8 @@ class BitWriter:
         self.limit = limit
 
     def put(self, value: int, bits: int) -> None:
+        if value >> bits:
+            raise ValueError(f"{value} does not fit {bits} bits")
         if bits:
             self.parts.append(format(value, f"0{bits}b"))
 
