@@ -221,6 +221,17 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SH
     return materialize(dealt.mapInPandas(_link(radius), "a long, b long").distinct(), "simhash-edges")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """``(doc_id, fp)`` to ``(fp, component, component_id)``, one row per fingerprint."""
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
+    edges = fingerprint_links(fps.select("fp"), radius)
+    groups = connected_components(edges).withColumnRenamed("node", "fp")
+    named = fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = materialize(named, "simhash-named")
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return materialize(named.join(lowest, "component").select("fp", "component", "component_id"), "simhash-ids")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, fp, component_id)``, one row per input row.
 
@@ -230,32 +241,25 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     A component whose doc_ids are all null has a null id.
     """
     prints = materialize(simhash(docs), "simhash-docs")
-    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
-    edges = fingerprint_links(fps.select("fp"), radius)
-    groups = connected_components(edges).withColumnRenamed("node", "fp")
-    named = fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialize(named, "simhash-named")
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = materialize(named.join(lowest, "component").select("fp", "component_id"), "simhash-ids")
+    ids = _classes(prints, radius).select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` with one document for each group of near copies, the one with the smallest doc_id.
 
-    All columns stay.  Of repeated rows of one doc_id one remains; a group whose
-    doc_ids are all null keeps one row with a null doc_id.
+    All columns stay.  Of repeated rows of one doc_id one remains; rows without
+    a doc_id remain only where no row of their group has one, one for each group.
     """
-    groups = near_groups(docs, radius)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Groups without any id share the null key, so the fingerprint of the text tells them apart.
-    if docs.where("doc_id is null").isEmpty():
-        ids = materialize(keep.select("doc_id").distinct(), "simhash-keep")
-        return docs.join(ids, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    named = keep.where("doc_id is not null").select("doc_id").distinct()
-    with_id = docs.join(named, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    bare = docs.where("doc_id is null").dropDuplicates(["text"])
-    tagged = near_groups(bare.withColumn("doc_id", F.xxhash64("text")), radius)
-    lone = tagged.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_k")).distinct()
-    rest = bare.join(lone, F.xxhash64("text") == F.col("_k"), "left_semi").select(docs.columns)
-    return with_id.unionByName(rest)
+    prints = materialize(simhash(docs), "simhash-docs")
+    ids = _classes(prints, radius)
+    keep = prints.join(ids, "fp").where("doc_id = component_id").select("doc_id").distinct()
+    keep = materialize(keep, "simhash-keep")
+    out = docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    if prints.where("doc_id is null").isEmpty():
+        return out
+    own = F.pandas_udf(lambda s: pd.Series(np.array([fingerprint(t) for t in s], np.uint64).view(np.int64)), "long")
+    bare = docs.where("doc_id is null").withColumn("_fp", own(F.col("text").cast("string")))
+    lone = ids.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
+    bare = bare.join(lone, "_fp").dropDuplicates(["_component"])
+    return out.unionByName(bare.select(docs.columns))
