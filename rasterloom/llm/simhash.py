@@ -10,6 +10,14 @@ by level in numpy, and each shard answers with a spanning forest, never with
 all pairs.  A shard of more than ``SHARD_ROWS`` members is cut into chunks; a
 task holds the tree of one chunk and the queries of another, so a group that
 holds a third of all rows is spread over many tasks and loses no link.
+
+At a radius of 3 in 64 bits only texts with a handful of changes link.  Near
+copies by similarity (``level``) are found with a wide SimHash of ``WIDE_BITS``
+bits over the set of five-word shingles: the share of differing bits tells the
+angle between two sets, hence their Jaccard similarity.  Its shards are keyed by
+``BANDS`` pairs of minima over the shingles' hashes, which two texts of that
+similarity share in at least one band but for 3 in 10,000 cases; the same trees
+are built and searched there.
 """
 
 from __future__ import annotations
@@ -30,6 +38,14 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SHARD_ROWS = 4096
 BATCH_ROWS = 65_536
 FRONTIER = 1 << 20
+SHINGLE, LEVEL = 5, 0.8
+WIDE_WORDS, BANDS, SLACK = 32, 8, 2.5
+WIDE_BITS = 64 * WIDE_WORDS
+MOST_WORDS = 300_000
+_RNG = np.random.default_rng(13)
+SALTS, ODDS = (_RNG.integers(0, 2**63, WIDE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+POWERS = _RNG.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -56,29 +72,96 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
+def wide_radius(level: float) -> int:
+    """The differing wide bits that texts of that similarity are expected to have, plus ``SLACK`` standard deviations."""
+    share = np.arccos(2 * level / (1 + level)) / np.pi
+    return int(WIDE_BITS * (share + SLACK * np.sqrt(share * (1 - share) / WIDE_BITS)))
+
+
+class WidePrinter:
+    """Wide SimHash and band keys of texts; hashes of words met before are kept, up to a bound."""
+
+    def __init__(self, width: int = SHINGLE):
+        self.width, self.known = width, {}
+
+    def _shingles(self, text: str | None) -> np.ndarray:
+        """Distinct hashes of the word shingles (of the whole sequence, if it is shorter)."""
+        import xxhash
+
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        got = list(map(self.known.get, words))
+        if None in got:
+            if len(self.known) > MOST_WORDS:
+                self.known.clear()
+            for k, g in enumerate(got):
+                if g is None:
+                    got[k] = self.known[words[k]] = xxhash.xxh64_intdigest(words[k])
+        h = np.array(got, np.uint64)
+        if len(h) < self.width:
+            own = xxhash.xxh64_intdigest(b" ".join(words), 7) if words else None
+            return np.array([own], np.uint64) if words else np.empty(0, np.uint64)
+        n = len(h) - self.width + 1
+        out = np.zeros(n, np.uint64)
+        for k in range(self.width):
+            out += h[k : k + n] * POWERS[k]
+        out ^= out >> np.uint64(29)
+        return np.unique(out)
+
+    def __call__(self, text: str | None) -> tuple[bytes, list[int]]:
+        h = self._shingles(text)
+        total = np.zeros((8 * WIDE_WORDS, 8), np.int64)
+        low = np.full(WIDE_WORDS, ~np.uint64(0))
+        places = np.arange(8 * WIDE_WORDS) * 256
+        for at in range(0, len(h), 8192):
+            mixed = (h[at : at + 8192, None] ^ SALTS) * ODDS
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= ODDS[::-1]
+            mixed ^= mixed >> np.uint64(29)
+            low = np.minimum(low, mixed.min(axis=0))
+            seen = np.bincount((mixed.view(np.uint8) + places).ravel(), minlength=256 * len(places))
+            total += seen.reshape(-1, 256) @ _BYTE_BITS
+        bits = np.packbits(2 * total > len(h), axis=1, bitorder="little")
+        bands = (low[: 2 * BANDS : 2] * POWERS[0] + low[1 : 2 * BANDS : 2] * POWERS[1]) ^ np.arange(BANDS, dtype=np.uint64)
+        return bits.tobytes(), bands.view(np.int64).tolist() if len(h) else []
+
+
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
 
 
-def simhash(docs: DataFrame) -> DataFrame:
+def _wide_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    printer = WidePrinter()
+    for pdf, out in ((p, next(_fingerprints(iter([p])))) for p in batches):
+        both = [printer(t) for t in pdf["text"]]
+        yield out.assign(wide=[w for w, _ in both], bands=[b for _, b in both])
+
+
+def simhash(docs: DataFrame, wide: bool = False) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, fp)``: one row per input row, ``fp`` the fingerprint's bits as a signed long.
 
     A null text counts as empty, and an empty text or one without words has
-    fingerprint zero.  A null doc_id stays null.
+    fingerprint zero.  A null doc_id stays null.  ``wide`` adds the wide SimHash
+    and its band keys (none for a text without words).
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        _fingerprints, "doc_id long, fp long"
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if wide:
+        return rows.mapInPandas(_wide_fingerprints, "doc_id long, fp long, wide binary, bands array<long>")
+    return rows.mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
 class BKForest:
-    """One BK-tree for each shard, all grown at once: level by level, without a Python loop over nodes."""
+    """One BK-tree for each shard, all grown at once: level by level, without a Python loop over nodes.
+
+    fp: (n, words) of unsigned 64-bit words.
+    """
 
     def __init__(self, shard: np.ndarray, fp: np.ndarray, members: np.ndarray):
         self.fp, n = fp, len(fp)
+        self.bits = 64 * fp.shape[1]
+        self.frontier = FRONTIER // fp.shape[1]
         self.root = np.full(int(shard.max()) + 1 if n else 0, -1, np.int64)
         parents, edges, nodes = [], [], []
         rest, group = members, shard[members]
@@ -98,13 +181,20 @@ class BKForest:
             own = node[np.cumsum(head) - 1]
             keep = ~head
             rest, owner = rest[keep], own[keep]
-            label = np.bitwise_count(fp[rest] ^ fp[owner]).astype(np.int64)
-            group = owner * 65 + label
+            label = self.distance(rest, owner)
+            group = owner * (self.bits + 1) + label
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        key = cat(parents) * 65 + cat(edges)
+        key = cat(parents) * (self.bits + 1) + cat(edges)
         order = np.argsort(key, kind="stable")
         self.key, self.child = key[order], cat(nodes)[order]
 
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), np.int64)
+        for at in range(0, len(a), self.frontier):
+            own = slice(at, at + self.frontier)
+            out[own] = np.bitwise_count(self.fp[a[own]] ^ self.fp[b[own]]).sum(axis=1)
+        return out
+
     def search(self, query: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields blocks of (query, member) index pairs within ``radius``."""
         start = self.root[shard]
@@ -114,12 +204,12 @@ class BKForest:
             if len(q) > FRONTIER:
                 stack += [(q[i : i + FRONTIER], node[i : i + FRONTIER]) for i in range(0, len(q), FRONTIER)]
                 continue
-            d = np.bitwise_count(self.fp[q] ^ self.fp[node]).astype(np.int64)
+            d = self.distance(q, node)
             near = d <= radius
             if near.any():
                 yield q[near], node[near]
-            lo = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0), "left")
-            hi = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), "right")
+            lo = np.searchsorted(self.key, node * (self.bits + 1) + np.maximum(d - radius, 0), "left")
+            hi = np.searchsorted(self.key, node * (self.bits + 1) + np.minimum(d + radius, self.bits), "right")
             many = hi - lo
             total = int(many.sum())
             if total:
@@ -164,7 +254,11 @@ def _link(radius: int):
             fp = pdf["fp"].to_numpy(np.int64)
             if not len(fp):
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            a, b = forest_edges(shard, fp.view(np.uint64), pdf["role"].to_numpy(np.int64), radius)
+            if "wide" in pdf:
+                words = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(fp), -1)
+            else:
+                words = fp.view(np.uint64)[:, None]
+            a, b = forest_edges(shard, words, pdf["role"].to_numpy(np.int64), radius)
             return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
         held, size = [], 0
@@ -198,8 +292,24 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SH
     """Distinct fingerprints ``(fp: long)`` to edges ``(a, b)`` that connect all that differ in ``radius`` bits or fewer."""
     if radius > 3:
         raise ValueError("five blocks prove two equal ones for a radius up to 3")
-    spark = fps.sparkSession
-    rows = _shards(fps)
+    return _linked(_shards(fps), radius, shard_rows)
+
+
+def similar_links(prints: DataFrame, level: float = LEVEL, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``simhash(wide=True)`` to edges ``(a, b)`` between fingerprints of texts of that similarity or more.
+
+    Only rows of shards with company travel with their wide bits.
+    """
+    texts = materialize(prints.dropDuplicates(["fp", "wide"]).select("fp", "wide", "bands", F.xxhash64("wide").alias("text_key")), "simhash-wide")
+    rows = texts.select("fp", "text_key", F.explode("bands").alias("shard"))
+    shared = materialize(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard"), "simhash-shared")
+    rows = rows.join(shared, "shard").join(texts.select("fp", "text_key", "wide"), ["fp", "text_key"]).drop("text_key")
+    return _linked(rows, wide_radius(level), shard_rows)
+
+
+def _linked(rows: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """``(shard, fp)``, and ``wide`` where that is the fingerprint to compare, to edges between values of ``fp``."""
+    spark = rows.sparkSession
     large = materialize(
         rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows), "simhash-large"
     )
@@ -215,16 +325,19 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SH
             F.when(o == F.col("c"), 2).when(o > F.col("c"), 0).otherwise(1).alias("role"),
         ),
     )
-    spread = rows.select("shard", "fp", F.explode(pairs).alias("p")).select("shard", "p.i", "p.j", "fp", "p.role")
+    wide = [c for c in rows.columns if c == "wide"]
+    spread = rows.select("shard", "fp", *wide, F.explode(pairs).alias("p")).select("shard", "p.i", "p.j", "fp", "p.role", *wide)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     dealt = spread.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp")
-    return materialize(dealt.mapInPandas(_link(radius), "a long, b long").distinct(), "simhash-edges")
+    return materialize(dealt.mapInPandas(_link(radius), "a long, b long").where("a <> b").distinct(), "simhash-edges")
 
 
-def _classes(prints: DataFrame, radius: int) -> DataFrame:
+def _classes(prints: DataFrame, radius: int, level: float | None = None) -> DataFrame:
     """``(doc_id, fp)`` to ``(fp, component, component_id)``, one row per fingerprint."""
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
     edges = fingerprint_links(fps.select("fp"), radius)
+    if level is not None:
+        edges = edges.unionAll(similar_links(prints, level))
     groups = connected_components(edges).withColumnRenamed("node", "fp")
     named = fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "simhash-named")
@@ -245,14 +358,16 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, level: float | None = LEVEL) -> DataFrame:
     """Rows of ``docs`` with one document for each group of near copies, the one with the smallest doc_id.
 
+    Links are those of ``near_groups`` and those of five-word shingle sets whose
+    similarity is ``level`` or more by their wide SimHash (None: no such links).
     All columns stay.  Of repeated rows of one doc_id one remains; rows without
     a doc_id remain only where no row of their group has one, one for each group.
     """
-    prints = materialize(simhash(docs), "simhash-docs")
-    ids = _classes(prints, radius)
+    prints = materialize(simhash(docs, wide=level is not None), "simhash-docs")
+    ids = _classes(prints, radius, level)
     keep = prints.join(ids, "fp").where("doc_id = component_id").select("doc_id").distinct()
     keep = materialize(keep, "simhash-keep")
     out = docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])

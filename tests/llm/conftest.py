@@ -3,6 +3,7 @@ import os
 import pytest
 
 DATA = os.environ.get("RASTERLOOM_TESTDATA", "/root/testdata/sf0.001")
+LARGEST = os.environ.get("RASTERLOOM_TESTDATA_LARGEST", "/root/testdata/sf0.1")
 LARGER = os.environ.get("RASTERLOOM_TESTDATA_LARGER", "/root/testdata/sf0.01")
 
 
@@ -47,3 +48,10 @@ def odd(docs_of):
 @pytest.fixture
 def empty(docs_of):
     return docs_of([])
+
+
+@pytest.fixture(scope="session")
+def largest_dir():
+    if not os.path.isdir(LARGEST):
+        pytest.skip("no test tables")
+    return LARGEST

@@ -98,13 +98,14 @@ def test_quality_query(spark, larger_dir):
     assert min(accuracy(spark, rows, larger_dir, "quality")) >= 0.85
 
 
-def test_toxicity_query(spark, larger_dir):
-    docs = [r.doc_id for r in spark.read.parquet(f"{larger_dir}/documents.parquet").select("doc_id").collect()]
-    rows = op8_window_toxicity(spark, larger_dir).collect()
+def test_toxicity_query(spark, largest_dir):
+    docs = [r.doc_id for r in spark.read.parquet(f"{largest_dir}/documents.parquet").select("doc_id").collect()]
+    rows = op8_window_toxicity(spark, largest_dir).collect()
     check_rows(rows, docs, 3, 1)
     assert all(r.predicted == int(r.score >= 0.7) for r in rows)
-    clean, toxic = accuracy(spark, rows, larger_dir, "toxic")
-    assert clean >= 0.97 and toxic >= 0.8
+    clean, toxic = accuracy(spark, rows, largest_dir, "toxic")
+    # About one in seven documents marked toxic holds nothing but clean prose, so no reader gets them all.
+    assert clean >= 0.985 and toxic >= 0.8
 
 
 def test_language_query(spark, larger_dir):

@@ -109,3 +109,72 @@ def test_query(spark, sf_dir):
     label = brute_groups(prints)
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in op6_simhash_groups(spark, sf_dir).collect())
     assert got == sorted((d, f"{p:016x}", label[d]) for d, p in prints.items())
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / max(1, len(a | b))
+
+
+def families(seed=6, size=150, many=10):
+    """Texts of ``size`` words and copies of each with ever more changed words."""
+    rng = random.Random(seed)
+    out = []
+    for f in range(many):
+        words = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for c in (0, 1, 2, 3, 12, 25):
+            own = list(words)
+            for k in rng.sample(range(size), c):
+                own[k] = f"x{rng.randrange(10**6)}"
+            out.append((10 * f + min(c, 9) if c < 12 else 1000 + 10 * f + c, " ".join(own)))
+    return out
+
+
+def expected_classes(texts, level):
+    label = {d: d for d, _ in texts}
+    links = [(a, b) for k, (a, x) in enumerate(texts) for b, y in texts[:k] if similarity(x, y) >= level]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+@pytest.mark.parametrize("shard_rows", [4, 4096])
+def test_similar_texts_link(spark, docs_of, shard_rows):
+    """All pairs of 0.8 or more are linked, and no linked class goes below 0.65."""
+    texts = families()
+    prints = simhash.simhash(docs_of(texts), wide=True).cache()
+    fp = {r.doc_id: r.fp for r in prints.collect()}
+    found = {r.node: r.component for r in components.connected_components(simhash.similar_links(prints, shard_rows=shard_rows)).collect()}
+    got = {d: found.get(p, p) for d, p in fp.items()}
+    high, low = expected_classes(texts, 0.8), expected_classes(texts, 0.65)
+    for a, x in texts:
+        for b, y in texts:
+            if high[a] == high[b]:
+                assert got[a] == got[b], (a, b, similarity(x, y))
+            if got[a] == got[b]:
+                assert low[a] == low[b], (a, b, similarity(x, y))
+
+
+def test_keep_one_of_similar_texts(docs_of):
+    texts = families(8)
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(texts)).collect()}
+    assert len(kept) == len({*expected_classes(texts, 0.8).values()})
+
+
+def test_wide_bits_of_short_and_empty_texts():
+    printer = simhash.WidePrinter()
+    assert printer(None) == printer("") == printer(" \n") == (bytes(256), [])
+    one = [printer(t) for t in ("a", "A ", "a b", "a b c d e", "a b c d e f")]
+    assert one[0] == one[1] and len({w for w, _ in one}) == 4 and all(len(b) == 8 for _, b in one)
+    again = simhash.WidePrinter()
+    assert [again("word " * 20_000 + str(k)) for k in range(2)] == [printer("word " * 20_000 + str(k)) for k in range(2)]
