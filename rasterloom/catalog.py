@@ -147,12 +147,7 @@ def block_offsets(spark, d):
 
 
 def point_of_interest(spark, d):
-    words = _words(spark, d)
-    parts = [progressive.points_of_interest(words, EV_LOSSY, n).withColumn("prefix", F.lit(n)) for n in PREFIXES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return progressive.points_of_interest(_words(spark, d), EV_LOSSY, PREFIXES)
 
 
 def _specs(spark, d) -> DataFrame:

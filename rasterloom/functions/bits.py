@@ -5,6 +5,10 @@ Bits fill 32-bit words from the top; words are little-endian bytes.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+
 from ..errors import UnderflowError
 
 ESCAPE = 12
@@ -31,8 +35,7 @@ class BitWriter:
         text += "0" * (-len(text) % 32)
         if not text:
             return b""
-        raw = int(text, 2).to_bytes(len(text) // 8, "big")
-        out = b"".join(raw[k : k + 4][::-1] for k in range(0, len(raw), 4))
+        out = np.frombuffer(int(text, 2).to_bytes(len(text) // 8, "big"), ">u4").astype("<u4").tobytes()
         if self.limit is not None and len(out) > self.limit:
             raise UnderflowError("the sink is full")
         return out
@@ -41,7 +44,7 @@ class BitWriter:
 class BitReader:
     def __init__(self, data: bytes):
         whole = len(data) // 4 * 4
-        raw = b"".join(data[k : k + 4][::-1] for k in range(0, whole, 4))
+        raw = np.frombuffer(data, "<u4", whole // 4).astype(">u4").tobytes()
         self.text = format(int.from_bytes(raw, "big"), f"0{8 * whole}b") if whole else ""
         self.at = 0
 
@@ -71,6 +74,7 @@ class BitReader:
         return -(-self.at // 32)
 
 
+@lru_cache(maxsize=1 << 14)
 def unsigned_bits(x: int, pot: int) -> str:
     """The code of a non-negative number: unary quotient by 2**pot, then the remainder; 12 zeros escape to a larger pot."""
     head = ""

@@ -65,8 +65,8 @@ def _label(table: dict[str, int], code: str) -> str:
 def parse_headers(rows: DataFrame, header: str = "header") -> DataFrame:
     """The fields of a column of hex headers, with ``status``: ok, or why it can't be read."""
     at = lambda k, n: read_little_endian(header, k, n)
-    packed = at(20, 3)
-    out = rows.withColumns(
+    packed = "_packed"
+    out = rows.withColumn(packed, F.expr(at(20, 3))).withColumns(
         {
             "version": F.expr(at(4, 4)), "width": F.expr(at(8, 4)), "height": F.expr(at(12, 4)),
             "channels": F.expr(f"{at(16, 2)} + 1"), "layers": F.expr(f"{at(18, 2)} + 1"),
@@ -83,4 +83,4 @@ def parse_headers(rows: DataFrame, header: str = "header") -> DataFrame:
     ranged = F.lit("ok")
     for name, (low, high) in reversed(LIMITS.items()):
         ranged = F.when(F.expr(check_range(name, low, high)), ranged).otherwise(name)
-    return out.withColumn("status", status.otherwise(ranged))
+    return out.withColumn("status", status.otherwise(ranged)).drop(packed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,24 +25,25 @@ def block_offsets(words: DataFrame, spec: Spec) -> DataFrame:
     return rows.join(levels, ["image_id", "level_step"]).withColumn("at", (F.col("first") + F.col("skipped")).cast("bigint")).drop("first", "skipped")
 
 
-def points_of_interest(words: DataFrame, spec: Spec, prefix: int, downsampling: int = 0) -> DataFrame:
-    """For a prefix of that many payload bytes: image_id, point_of_interest (0: all there), status.
+def points_of_interest(words: DataFrame, spec: Spec, prefixes: Sequence[int], downsampling: int = 0) -> DataFrame:
+    """For prefixes of so many payload bytes: image_id, prefix, point_of_interest (0: all there), status.
 
     A level whose size table is cut stops the walk; a coarser level cut within its blocks is an error.
     """
     least = 1 << downsampling
     levels = level_sizes(words, spec).where(F.col("level_step") >= least)
+    levels = levels.withColumn("prefix", F.explode(F.array(*[F.lit(n) for n in prefixes])))
     finer = F.when(F.col("level_step") > least, 16 * F.col("blocks")).otherwise(0)
     rows = levels.withColumns(
         {
-            "met": F.expr(f"{prefix} - start > 4 * blocks"), "stop": F.expr("start + 4 * blocks + coded"), "late": F.col("start") > prefix,
+            "met": F.expr("prefix - start > 4 * blocks"), "stop": F.expr("start + 4 * blocks + coded"), "late": F.expr("start > prefix"),
         }
     ).withColumn("target", F.col("stop") + finer)
-    ends = rows.groupBy("image_id").agg(
+    ends = rows.groupBy("image_id", "prefix").agg(
         F.min_by("target", F.when(F.col("met"), F.col("level_step"))).alias("target"),
-        F.bool_or(~F.col("met") | (F.col("stop") > prefix)).alias("cut"),
+        F.bool_or(~F.col("met") | F.expr("stop > prefix")).alias("cut"),
         F.coalesce(F.max_by("late", F.when(~F.col("met"), F.col("level_step"))), F.lit(False)).alias("late"),
     )
-    wanted = F.when(~F.col("cut"), 0).otherwise(F.coalesce("target", F.lit(prefix + 1024)))
+    wanted = F.when(~F.col("cut"), 0).otherwise(F.coalesce("target", F.col("prefix") + 1024))
     status = F.when(F.col("late"), "underflow").otherwise("ok")
-    return ends.select("image_id", F.when(~F.col("late"), wanted).cast("bigint").alias("point_of_interest"), status.alias("status"))
+    return ends.select("image_id", "prefix", F.when(~F.col("late"), wanted).cast("bigint").alias("point_of_interest"), status.alias("status"))

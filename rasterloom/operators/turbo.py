@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import turbo_runs
 from ..spec import Spec
-from .codes import interleaved_code, signed_code, unsigned_code, words_hex
+from .codes import signed_code, unsigned_code, words_hex
 from .lattice import BLOCK, block_origins, with_blocks
 
 
@@ -47,10 +47,12 @@ def block_bits(coded: DataFrame, spec: Spec, chroma: Collection[int] = ()) -> Da
     before = scan.rowsBetween(Window.unboundedPreceding, -1)
     last = F.coalesce(F.max(F.when((F.col("v") != 0) & ~F.col("origin"), F.col("n"))).over(before), F.lit(0))
     cells = cells.withColumn("run", (F.col("n") - last - 1).cast("int"))
-    moved = "(case when v < 0 then v + 1 else v end)"
+    # One code text for both modes: with runs a negative value is moved up by one first.
+    moved = F.when(F.col("runs") & (F.col("v") < 0), F.col("v") + 1).otherwise(F.col("v"))
+    cells = cells.withColumn("s", F.when(moved > 0, 2 * moved - 1).otherwise(-2 * moved).cast("int"))
+    own = F.expr(unsigned_code("s", 1))
     code = F.when(F.col("origin"), F.expr(signed_code("v", 4)))
-    code = code.when(~F.col("runs"), F.expr(interleaved_code("v", 1))).when(F.col("v") == 0, "")
-    code = code.otherwise(F.concat(F.expr(unsigned_code("run", 1)), F.expr(interleaved_code(moved, 1))))
+    code = code.when(~F.col("runs"), own).when(F.col("v") == 0, "").otherwise(F.concat(F.expr(unsigned_code("run", 1)), own))
     rows = cells.select(*BLOCK, "y", "x", code.alias("code"), "runs", "n", (F.col("v") != 0).alias("some"), "origin")
     empty = block_origins(coded, spec).selectExpr(*BLOCK, "-1 as y", "-1 as x", "'' as code", "false as runs", "0L as n", "false as some", "false as origin")
     every = rows.unionByName(empty)

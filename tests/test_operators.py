@@ -94,6 +94,16 @@ def test_context_columns_equal_blocks(spark, block_size):
     assert got == want
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (1, 7), (7, 1), (9, 14), (16, 16)])
+def test_context_plan_equals_one_cell_at_a_time(shape):
+    h, w = shape
+    for step in (1, 2, 4):
+        places, weights, n = blocks.context_plan(h, w, step)
+        for k, (y, x) in enumerate(blocks.cells(h, w, step)):
+            want = sorted((r * w + c, m) for r, c, m in blocks.context_cells(y, x, step, h, w))
+            assert sorted((p, m) for p, m in zip(places[k].tolist(), weights[k].tolist()) if m) == want and n[k] == sum(m for _, m in want)
+
+
 def test_code_columns(spark):
     values = [*range(-40, 40), -255, 255, 4000, -4000, 60_000, -60_000]
     rows = spark.createDataFrame([(v,) for v in values], "x int")
@@ -174,8 +184,8 @@ def test_every_prefix(spark):
     payload = container.encode_planes(spec, raw[0], [False])
     words = turbo.block_words(cells_of(spark, np.stack([[kernels.lift(raw[0, 0], "linear")]])), spec).cache()
     for d in (0, 1):
-        for n in range(0, len(payload) + 4, 7):
-            got = progressive.points_of_interest(words, spec, n, d).collect()[0]
+        for got in progressive.points_of_interest(words, spec, range(0, len(payload) + 4, 3), d).collect():
+            n = got.prefix
             try:
                 want = (container.point_of_interest(spec, payload[:n], d)[0], "ok")
             except container.UnderflowError:
