@@ -7,8 +7,9 @@ position of a cut, the cost of a window from cut i to cut j is its padding
     best[j] = limit - pos[j] + penalty[j] + min(best[i] + pos[i])
 
 over the cuts i at most ``limit`` tokens back.  The minimum of that sliding
-window comes from a monotone queue, hence linear time.  A stretch without a
-cut for more than ``limit`` tokens (one endless sentence) gets extra cuts.
+window comes from a monotone queue, hence linear time.  A sentence of more than
+``LONG_SENTENCE`` tokens gets extra cuts inside, at a higher penalty: they are
+taken where the next boundary would leave more padding than that.
 
 Documents keep the order in which their input partition holds them.  Every
 partition is packed by itself, in blocks of ``horizon`` tokens, so memory is
@@ -31,8 +32,8 @@ from .tokens import Encoder, crc_of
 
 LIMIT = 2048
 HORIZON = 1 << 21
-SENTENCE_PENALTY = 24
-HARD_PENALTY = 256
+SENTENCE_PENALTY = 8
+LONG_SENTENCE, HARD_EVERY, HARD_PENALTY = 32, 8, 24
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "row_in_partition long"
@@ -67,25 +68,34 @@ def sentence_ends(ids: np.ndarray, enders: np.ndarray) -> np.ndarray:
     return np.flatnonzero(enders[ids]) + 1
 
 
-def pack_block(docs: list[np.ndarray], enders: np.ndarray, limit: int = LIMIT) -> Iterator[tuple[int, int, int, int, int]]:
-    """Packs documents in order; yields (document, start, length, sequence, offset) of each piece."""
+def tail_cuts(size: int, limit: int) -> list[int]:
+    """Cuts of a partition's last window into powers of two, which need no padding, where that is the cheaper way."""
+    if HARD_PENALTY * (size.bit_count() - 1) >= limit - size:
+        return []
+    ones = [1 << b for b in range(size.bit_length() - 1, -1, -1) if size >> b & 1]
+    return np.cumsum(ones[:-1]).tolist()
+
+
+def pack_block(docs: list[np.ndarray], enders: np.ndarray, limit: int = LIMIT, last: bool = True) -> Iterator[tuple[int, int, int, int, int]]:
+    """Packs documents in order; yields (document, start, length, sequence, offset) of each piece.
+
+    ``last``: no further block follows in the partition, so the last window may end short.
+    """
     sizes = np.array([len(d) for d in docs], np.int64)
     ends = np.cumsum(sizes)
     ids = np.concatenate(docs)
     cut = sentence_ends(ids, enders)
     pos = np.union1d(cut, ends)
     pos = np.concatenate([[0], pos[pos > 0]])
-    gaps = np.flatnonzero(np.diff(pos) > limit)
-    if len(gaps):
-        more = [np.arange(pos[g] + limit, pos[g + 1], limit) for g in gaps]
-        hard = np.concatenate(more)
-        pos = np.union1d(pos, hard)
-    else:
-        hard = np.empty(0, np.int64)
+    gaps = np.flatnonzero(np.diff(pos) > LONG_SENTENCE)
+    hard = np.concatenate([np.arange(pos[g] + HARD_EVERY, pos[g + 1], HARD_EVERY) for g in gaps]) if len(gaps) else np.empty(0, np.int64)
+    pos = np.union1d(pos, hard)
     penalty = np.full(len(pos), SENTENCE_PENALTY, np.int64)
     penalty[np.isin(pos, hard)] = HARD_PENALTY
     penalty[np.isin(pos, ends)] = 0
     at = pos[choose_cuts(pos, penalty, limit)]
+    if last:
+        at = np.union1d(at, at[-2] + np.array(tail_cuts(int(at[-1] - at[-2]), limit), np.int64))
     edges = np.union1d(at, np.concatenate([[0], ends]))
     doc = np.searchsorted(ends, edges[:-1], "right")
     seq = np.searchsorted(at, edges[:-1], "right") - 1
@@ -107,10 +117,10 @@ def _packer(path: str, end_id: int, limit: int, horizon: int) -> Callable:
         base = TaskContext.get().partitionId() << 34
         held, names, size, rows, seqs = [], [], 0, 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush(last: bool) -> pd.DataFrame:
             nonlocal rows, seqs
             out, top = [], 0
-            for d, start, length, seq, offset in pack_block(held, enders, limit):
+            for d, start, length, seq, offset in pack_block(held, enders, limit, last):
                 ids = held[d][start : start + length]
                 out.append((names[d], start, length, crc_of(ids), len(held[d]), base + seqs + seq, offset, rows + d))
                 top = max(top, seq + 1)
@@ -125,10 +135,10 @@ def _packer(path: str, end_id: int, limit: int, horizon: int) -> Callable:
                 names.append(doc_id)
                 size += len(ids)
                 if size >= horizon:
-                    yield flush()
+                    yield flush(False)
                     held, names, size = [], [], 0
         if held:
-            yield flush()
+            yield flush(True)
 
     return run
 
