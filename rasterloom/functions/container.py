@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -49,29 +49,35 @@ def encode_planes(spec: Spec, planes: np.ndarray, chroma: list[bool]) -> bytes:
     return b"".join(level_payload(spec, coded, chroma, step, k == 0) for k, step in enumerate(spec.steps()))
 
 
-def point_of_interest(spec: Spec, data: bytes, d: int = 0) -> tuple[int, list[tuple[int, int, list[int]]]]:
-    """Where the reader wants data up to (0: all is there), and (step, offset of the first block, sizes) of each level met.
+def walk(spec: Spec, read_at: Callable[[int, int], bytes], size: int, d: int = 0) -> Iterator[tuple[int, int, list[int]]]:
+    """(step, offset of the first block, sizes in bytes) of each level that a payload of ``size`` bytes has a size table of.
 
-    Reads size tables only.
+    ``read_at(n, offset)`` reads size tables only; a coarser level cut short within its blocks is an underflow.
     """
-    at, target, cut, found = 0, len(data) + 1024, False, []
+    at = 0
     for step in spec.steps():
         if not step >> d:
-            break
-        cut = True
+            return
         nx, ny = spec.block_grid(step)
         n = nx * ny * spec.channels * spec.layers
-        if at > len(data):
+        if at > size:
             raise UnderflowError("a coarser level is cut short")
-        if len(data) - at <= 4 * n:
-            break
-        sizes = [4 * k for k in struct.unpack_from(f"<{n}I", data, at)]
-        end = at + 4 * n + sum(sizes)
-        target = end + (16 * n if step >> d > 1 else 0)
-        cut = len(data) < end
-        found.append((step, at + 4 * n, sizes))
-        at = end
-    return (target if cut else 0), found
+        if size - at <= 4 * n:
+            return
+        sizes = [4 * k for k in struct.unpack(f"<{n}I", read_at(4 * n, at))]
+        yield step, at + 4 * n, sizes
+        at += 4 * n + sum(sizes)
+
+
+def point_of_interest(spec: Spec, data: bytes, d: int = 0) -> tuple[int, list[tuple[int, int, list[int]]]]:
+    """Where the reader wants data up to (0: all is there), and the levels of ``walk``."""
+    found = list(walk(spec, lambda n, at: data[at : at + n], len(data), d))
+    if not found:
+        return (len(data) + 1024 if spec.steps()[0] >> d else 0), found
+    step, at, sizes = found[-1]
+    end = at + sum(sizes)
+    complete = not step >> d + 1 and len(data) >= end
+    return (0 if complete else end + (16 * len(sizes) if step >> d > 1 else 0)), found
 
 
 def decode_planes(spec: Spec, data: bytes, chroma: list[bool], d: int = 0, test: bool = False) -> tuple[np.ndarray, int]:
@@ -128,11 +134,23 @@ def encode_image(spec: Spec, program: Program, data: bytes) -> bytes:
     return spec.to_bytes() + program.to_bytes() + encode_planes(spec, planes, chroma)
 
 
+def read_head(read_at: Callable[[int, int], bytes]) -> tuple[Spec, Program, int]:
+    """Header, program and where the payload starts, from a few short reads."""
+    spec, most = Spec.from_bytes(read_at(32, 0)), 256
+    while True:
+        head = read_at(most, 32 + spec.metadata_size)
+        try:
+            program, used = Program.from_bytes(head, spec.channels * spec.layers)
+            return spec, program, 32 + spec.metadata_size + used
+        except UnderflowError:
+            if len(head) < most:
+                raise
+            most *= 4
+
+
 def open_container(data: bytes) -> tuple[Spec, Program, bytes]:
-    spec = Spec.from_bytes(data)
-    rest = data[32 + spec.metadata_size :]
-    program, used = Program.from_bytes(rest, spec.channels * spec.layers)
-    return spec, program, rest[used:]
+    spec, program, start = read_head(lambda n, at: data[at : at + n])
+    return spec, program, data[start:]
 
 
 def decode_image(data: bytes, d: int = 0) -> tuple[bytes, int]:
