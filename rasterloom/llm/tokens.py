@@ -102,7 +102,7 @@ class Encoder:
                 fast = _ranked(path).encode_ordinary
                 if fast(_PROBE) == self._library(_PROBE):
                     self.engine = fast
-            except (ImportError, ValueError):
+            except ValueError:  # a vocabulary that lacks single bytes
                 pass
 
     def _library(self, text: str) -> list[int]:
