@@ -104,7 +104,7 @@ def test_toxicity_query(spark, largest_dir):
     check_rows(rows, docs, 3, 1)
     assert all(r.predicted == int(r.score >= 0.7) for r in rows)
     clean, toxic = accuracy(spark, rows, largest_dir, "toxic")
-    # About one in seven documents marked toxic holds nothing but clean prose, so no reader gets them all.
+    # Some 20 toxic training documents in Spanish are too few to learn its words from; larger tables have more.
     assert clean >= 0.985 and toxic >= 0.8
 
 
