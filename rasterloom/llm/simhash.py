@@ -38,6 +38,7 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SHARD_ROWS = 4096
 BATCH_ROWS = 65_536
 FRONTIER = 1 << 20
+SPREAD = 8
 SHINGLE, LEVEL = 5, 0.8
 WIDE_WORDS, BANDS, SLACK = 32, 8, 2.5
 WIDE_BITS = 64 * WIDE_WORDS
@@ -339,10 +340,15 @@ def _classes(prints: DataFrame, radius: int, level: float | None = None) -> Data
     if level is not None:
         edges = edges.unionAll(similar_links(prints, level))
     groups = connected_components(edges).withColumnRenamed("node", "fp")
-    named = fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialize(named, "simhash-named")
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return materialize(named.join(lowest, "component").select("fp", "component", "component_id"), "simhash-ids")
+    named = fps.join(groups, "fp", "left").withColumn("linked", F.col("component").isNotNull())
+    named = named.withColumn("component", F.coalesce("component", "fp"))
+    named = materialize(named.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(SPREAD)).cast("int")), "simhash-named")
+    # The members of a hot component meet its smallest id in SPREAD tasks; a fingerprint without links is its own component.
+    lowest = named.where("linked").groupBy("component").agg(F.min("low").alias("component_id"))
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    met = named.where("linked").join(lowest, ["component", "salt"]).select("fp", "component", "component_id")
+    alone = named.where("not linked").select("fp", "component", F.col("low").alias("component_id"))
+    return materialize(met.unionAll(alone), "simhash-ids")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
