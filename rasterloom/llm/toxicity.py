@@ -5,6 +5,9 @@ sum of its learned character vectors, one for each run of ``GRAM_SIZES``
 characters of ``<word>``.  Only words and runs whose document counts in the
 sample differ between the labels (|z| of ``LEAST_Z`` or more) have a vector, so
 rare words can't be learned by heart; all other words share one plain input.
+A word of more than ``PIECE`` characters is read whole as well: parts between
+its punctuation count as words, and what is longer still (unsegmented scripts)
+becomes pieces that overlap so far that each character run lies in one of them.
 Windows of ``WINDOW`` words start every ``STRIDE`` words and cover the whole
 text; attention weighs the recurrent states of a window.  A document's score is
 a logistic function of its most toxic window, of the mean over its windows and
@@ -39,6 +42,7 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, ATTEND = 8, 8
 WORDS, GRAMS, WIDTH = 1024, 4096, 8
 GRAM_SIZES, GRAM_BITS = (4, 5, 6, 7), 22
+PIECE, CUT = 64, "\0"  # CUT marks an end of a piece that is no end of a word
 LEAST_Z, LEAST_DOCS = 4.5, 5
 PER_CLASS, FIT_WINDOWS = 1500, 24
 EPOCHS, STEPS, BATCH = 5, 90, 192
@@ -46,16 +50,40 @@ WIDE = 1024
 MOST_PARTS = 60_000
 LEVEL = 0.7
 _STRIP = re.compile(r"^\W+|\W+$")
+_JOINTS = re.compile(r"[\W_]+")
 PAD = 0  # word 0 of a vocabulary is the padding
 MIX = np.random.default_rng(5).integers(1, 2**63, WINDOW, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def split(text: str | None) -> list[str]:
+    """The words of a text; one longer than ``PIECE`` becomes its parts between punctuation, or overlapping pieces."""
+    words = (text or "").replace(CUT, " ").split()
+    if not words or max(map(len, words)) <= PIECE:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= PIECE:
+            out.append(word)
+            continue
+        for part in _JOINTS.split(word):
+            step = PIECE - max(GRAM_SIZES) + 1
+            last = max(0, -(-(len(part) - PIECE) // step))
+            for k in range(last + 1 if part else 0):
+                out.append((CUT if k else "") + part[k * step : k * step + PIECE] + (CUT if k < last else ""))
+    return out
+
+
 def bare(word: str) -> str:
-    return _STRIP.sub("", word.lower())[:64]
+    return _STRIP.sub("", word.lower())
+
+
+def marked(word: str) -> str:
+    """The bare form between the marks of its ends; an end that is a cut has none."""
+    return ("" if word[:1] == CUT else "<") + bare(word) + ("" if word[-1:] == CUT else ">")
 
 
-def runs(word: str) -> list[str]:
-    c = f"<{word}>"
+def runs(c: str) -> list[str]:
+    """Character runs of a marked form."""
     return [c[i : i + n] for n in GRAM_SIZES for i in range(len(c) - n + 1)]
 
 
@@ -69,7 +97,7 @@ def telling(with_0: np.ndarray, with_1: np.ndarray, n0: int, n1: int, most: int)
 
 
 def lexicon(words: list[set[str]], y: np.ndarray) -> dict[str, dict[str, int]]:
-    """Row of each telling word and character run; row 0 is for all others."""
+    """Row of each telling word and character run in sets of marked forms; row 0 is for all others."""
     forms = sorted(set().union(*words)) if words else []
     place = {w: k for k, w in enumerate(forms)}
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
@@ -81,7 +109,7 @@ def lexicon(words: list[set[str]], y: np.ndarray) -> dict[str, dict[str, int]]:
         word_n[label, at] += 1
         run_n[label, np.unique(np.concatenate([spell[k] for k in at]))] += 1 if at else 0
     best = telling(word_n[0], word_n[1], n0, n1, WORDS - 1)
-    rows = {forms[k]: i + 1 for i, k in enumerate(best.tolist()) if forms[k]}
+    rows = {forms[k][1:-1]: i + 1 for i, k in enumerate(best.tolist()) if len(forms[k]) > 2 and forms[k][0] + forms[k][-1] == "<>"}
     chosen = np.zeros(1 << GRAM_BITS, bool)
     chosen[telling(run_n[0], run_n[1], n0, n1, GRAMS - 1)] = True
     grams: dict[str, int] = {}
@@ -111,8 +139,8 @@ class Vocabulary:
         self.index: dict[str, int] = {}
 
     def _id(self, word: str) -> int:
-        w = bare(word)
-        grams = sorted(k for _, k in self.auto.iter(f"<{w}>")) if len(self.auto) else []
+        w = "" if CUT in word else bare(word)
+        grams = sorted(k for _, k in self.auto.iter(marked(word))) if len(self.auto) else []
         part = (self.rows["words"].get(w, 0), tuple(grams))
         k = self.known.get(part)
         if k is None:
@@ -273,7 +301,7 @@ def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc_id, text, y in zip(pdf["doc_id"], pdf["text"], pdf["y"]):
-            words = (text or "").split()
+            words = split(text)
             starts = np.arange(max(1, -(-max(0, len(words) - WINDOW) // STRIDE) + 1)) * STRIDE
             pick = starts[np.unique(np.linspace(0, len(starts) - 1, min(FIT_WINDOWS, len(starts))).astype(int))]
             rows += [(doc_id, y, int(k), " ".join(words[k : k + WINDOW])) for k in pick]
@@ -316,7 +344,7 @@ def learn(pdf: pd.DataFrame) -> Model:
     words = [text.split() for text in pdf["words"]]
     seen: list[set[str]] = [set() for _ in names]
     for k, own in zip(doc.tolist(), words):
-        seen[k].update(map(bare, own))
+        seen[k].update(map(marked, own))
     vocab = Vocabulary(lexicon([x for x, o in zip(seen, late) if not o], y[~late]))
     ids = np.zeros((len(pdf), WINDOW), np.int64)
     for k, own in enumerate(words):
@@ -350,7 +378,7 @@ class Scorer:
         out = np.zeros(len(texts))
         held, owner, size = [], [], 0
         for k, text in enumerate(texts):
-            own = windows(self.vocab.ids((text or "").split()))
+            own = windows(self.vocab.ids(split(text)))
             held.append(own)
             owner.append(np.full(len(own), k))
             size += len(own)
@@ -361,7 +389,8 @@ class Scorer:
                 own = np.concatenate(owner)
                 first = own[0]
                 x = pool(own - first, self.net.scores(self.table, np.concatenate(held)).astype(float), k + 1 - first)
-                out[first : k + 1] = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+                # Sums differ in the last bits with the shape of a batch; equal texts get equal scores.
+                out[first : k + 1] = np.round(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), 6)
                 held, owner, size = [], [], 0
                 if len(self.vocab.parts) > MOST_PARTS:
                     self._reset()

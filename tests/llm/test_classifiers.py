@@ -78,6 +78,21 @@ def test_windows_cover_all_words():
         assert set(rows.ravel()) - {0} == set(ids.tolist()) and len(rows) == max(1, -(-(n - 32) // 24) + 1)
 
 
+def test_long_words_are_read_whole(models):
+    """Runs and words after the first 64 characters of a word count, whether joined by punctuation or by nothing."""
+    words = [f"w{k}" for k in range(40)] + ["last"]
+    for joint in "/_-,":
+        assert toxicity.split(joint.join(words)) == words
+    vocab = toxicity.Vocabulary({"words": {"last": 1}, "runs": {"abcdefg": 1}})
+    for at in range(300):
+        ids = vocab.ids(toxicity.split("x" * at + "abcdefg" + "x" * (300 - at)))
+        assert sum(vocab.parts[k][1] == [1] for k in ids) == 1, at
+    scorer = toxicity.Scorer(models[1])
+    telling = sorted(scorer.rows["words"])[:20]
+    text = ["plain"] * 30 + telling
+    assert scorer(["/".join(text)]) == scorer([" ".join(text)]) != scorer([" ".join(text[:12])])
+
+
 def accuracy(spark, rows, directory, column):
     labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{directory}/labels.parquet").collect() if r[column] is not None}
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
