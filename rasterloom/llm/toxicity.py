@@ -8,8 +8,8 @@ rare words can't be learned by heart; all other words share one plain input.
 A word of more than ``PIECE`` characters is read whole as well: parts between
 its punctuation count as words, and what is longer still (unsegmented scripts)
 becomes pieces that overlap so far that each character run lies in one of them.
-Windows of ``WINDOW`` words start every ``STRIDE`` words and cover the whole
-text; attention weighs the recurrent states of a window.  A document's score is
+Windows of ``WINDOW`` words start at every word of the text (at every
+``STRIDE``-th for the learning sample); attention weighs the recurrent states of a window.  A document's score is
 a logistic function of its most toxic window, of the mean over its windows and
 of their product, fitted on a third of the sample that the network did not see:
 one doubtful word in a long text weighs less than in a short one.  Equal windows
@@ -46,7 +46,7 @@ PIECE, CUT = 64, "\0"  # CUT marks an end of a piece that is no end of a word
 LEAST_Z, LEAST_DOCS = 4.5, 5
 PER_CLASS, FIT_WINDOWS = 1500, 24
 EPOCHS, STEPS, BATCH = 5, 90, 192
-WIDE = 1024
+WIDE, BLOCK = 1024, 32_768
 MOST_PARTS = 60_000
 LEVEL = 0.7
 _STRIP = re.compile(r"^\W+|\W+$")
@@ -165,12 +165,12 @@ class Vocabulary:
         return word, grams, np.repeat(np.arange(len(own)), [len(gs) for _, gs in own])
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
+def windows(ids: np.ndarray, stride: int = STRIDE) -> np.ndarray:
     """Overlapping windows over all ids, the last ones padded: (n, WINDOW)."""
-    n = max(1, -(-max(0, len(ids) - WINDOW) // STRIDE) + 1)
-    padded = np.full((n - 1) * STRIDE + WINDOW, PAD, np.int64)
+    n = max(1, -(-max(0, len(ids) - WINDOW) // stride) + 1)
+    padded = np.full((n - 1) * stride + WINDOW, PAD, np.int64)
     padded[: len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::stride]
 
 
 class Network:
@@ -374,27 +374,33 @@ class Scorer:
         self.vocab = Vocabulary(self.rows)
         self.table = self.net.table(self.vocab.inputs())
 
+    def _windows(self, held: list[np.ndarray]) -> np.ndarray:
+        known = self.table.shape[2]
+        if len(self.vocab.parts) > known:
+            self.table = np.concatenate([self.table, self.net.table(self.vocab.inputs(known))], axis=2)
+        return self.net.scores(self.table, np.concatenate(held))
+
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        held, owner, size = [], [], 0
-        for k, text in enumerate(texts):
-            own = windows(self.vocab.ids(split(text)))
-            held.append(own)
-            owner.append(np.full(len(own), k))
-            size += len(own)
-            if size >= 8 * WIDE or k == len(texts) - 1:
-                known = self.table.shape[2]
-                if len(self.vocab.parts) > known:
-                    self.table = np.concatenate([self.table, self.net.table(self.vocab.inputs(known))], axis=2)
-                own = np.concatenate(owner)
-                first = own[0]
-                x = pool(own - first, self.net.scores(self.table, np.concatenate(held)).astype(float), k + 1 - first)
-                # Sums differ in the last bits with the shape of a batch; equal texts get equal scores.
-                out[first : k + 1] = np.round(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), 6)
-                held, owner, size = [], [], 0
-                if len(self.vocab.parts) > MOST_PARTS:
-                    self._reset()
-        return out
+        if not texts:
+            return np.zeros(0)
+        held, size, scored, many = [], 0, [], []
+        for text in texts:
+            own = windows(self.vocab.ids(split(text)), 1)
+            many.append(len(own))
+            for at in range(0, len(own), BLOCK):
+                held.append(own[at : at + BLOCK])
+                size += len(held[-1])
+                if size >= BLOCK:
+                    scored.append(self._windows(held))
+                    held, size = [], 0
+            if not held and len(self.vocab.parts) > MOST_PARTS:
+                self._reset()
+        if held:
+            scored.append(self._windows(held))
+        if len(self.vocab.parts) > MOST_PARTS:
+            self._reset()
+        x = pool(np.repeat(np.arange(len(texts)), many), np.concatenate(scored).astype(float), len(texts))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
 def _score(model: Model):

@@ -93,6 +93,21 @@ def test_long_words_are_read_whole(models):
     assert scorer(["/".join(text)]) == scorer([" ".join(text)]) != scorer([" ".join(text[:12])])
 
 
+def test_every_window_is_scored(models):
+    """Against one row for each window of 32 words, with a passage at all offsets."""
+    scorer = toxicity.Scorer(models[1])
+    telling = sorted(scorer.rows["words"])[:16] * 2
+    texts = [" ".join(["plain"] * k + telling + ["plain"] * 60) for k in range(50)]
+    got = scorer(texts)
+    for text, score in zip(texts, got):
+        ids = scorer.vocab.ids(text.split())
+        rows = np.array([ids[k : k + 32] for k in range(len(ids) - 31)])
+        s = np.concatenate([scorer.net.scores(scorer.net.table(scorer.vocab.inputs()), r[None]) for r in rows])
+        x = np.array([1, s.max(), s.mean(), s.max() * s.mean()], float) @ scorer.weights
+        assert abs(1 / (1 + np.exp(-x)) - score) < 1e-4
+    assert len(scorer(["a " * 100_000, None])) == 2
+
+
 def accuracy(spark, rows, directory, column):
     labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{directory}/labels.parquet").collect() if r[column] is not None}
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
