@@ -15,9 +15,12 @@ At a radius of 3 in 64 bits only texts with a handful of changes link.  Near
 copies by similarity (``level``) are found with a wide SimHash of ``WIDE_BITS``
 bits over the set of five-word shingles: the share of differing bits tells the
 angle between two sets, hence their Jaccard similarity.  Its shards are keyed by
-``BANDS`` pairs of minima over the shingles' hashes, which two texts of that
-similarity share in at least one band but for 3 in 10,000 cases; the same trees
-are built and searched there.
+``LINK_BANDS`` pairs of minima over the shingles' hashes, which two texts of that
+similarity share in at least one band but for 8 in 100 million cases; the same
+trees are built and searched there, with ``SLACK`` standard deviations to spare
+(3 in 10 million).  What they find are candidates only: each becomes a link if
+the exact Jaccard similarity of the two sets of 64-bit shingle hashes is
+``level`` or more, and is left unchecked only where links join the two already.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ BATCH_ROWS = 65_536
 FRONTIER = 1 << 20
 SPREAD = 8
 SHINGLE, LEVEL = 5, 0.8
-WIDE_WORDS, BANDS, SLACK = 32, 8, 2.5
+WIDE_WORDS, BANDS, LINK_BANDS, SLACK = 32, 8, 16, 5.0
+BATCH_BYTES = 64 << 20
 WIDE_BITS = 64 * WIDE_WORDS
 MOST_WORDS = 300_000
 _RNG = np.random.default_rng(13)
@@ -109,6 +113,10 @@ class WidePrinter:
         return np.unique(out)
 
     def __call__(self, text: str | None) -> tuple[bytes, list[int]]:
+        return self.prints(text)[:2]
+
+    def prints(self, text: str | None, bands: int = BANDS) -> tuple[bytes, list[int], bytes]:
+        """Wide SimHash, band keys and the sorted shingle hashes."""
         h = self._shingles(text)
         total = np.zeros((8 * WIDE_WORDS, 8), np.int64)
         low = np.full(WIDE_WORDS, ~np.uint64(0))
@@ -122,8 +130,8 @@ class WidePrinter:
             seen = np.bincount((mixed.view(np.uint8) + places).ravel(), minlength=256 * len(places))
             total += seen.reshape(-1, 256) @ _BYTE_BITS
         bits = np.packbits(2 * total > len(h), axis=1, bitorder="little")
-        bands = (low[: 2 * BANDS : 2] * POWERS[0] + low[1 : 2 * BANDS : 2] * POWERS[1]) ^ np.arange(BANDS, dtype=np.uint64)
-        return bits.tobytes(), bands.view(np.int64).tolist() if len(h) else []
+        keys = (low[: 2 * bands : 2] * POWERS[0] + low[1 : 2 * bands : 2] * POWERS[1]) ^ np.arange(bands, dtype=np.uint64)
+        return bits.tobytes(), keys.view(np.int64).tolist() if len(h) else [], h.tobytes()
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,21 +143,21 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _wide_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     printer = WidePrinter()
     for pdf, out in ((p, next(_fingerprints(iter([p])))) for p in batches):
-        both = [printer(t) for t in pdf["text"]]
-        yield out.assign(wide=[w for w, _ in both], bands=[b for _, b in both])
+        wide, bands, grams = zip(*(printer.prints(t, LINK_BANDS) for t in pdf["text"])) if len(pdf) else ((), (), ())
+        yield out.assign(wide=list(wide), bands=list(bands), grams=list(grams))
 
 
 def simhash(docs: DataFrame, wide: bool = False) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, fp)``: one row per input row, ``fp`` the fingerprint's bits as a signed long.
 
     A null text counts as empty, and an empty text or one without words has
-    fingerprint zero.  A null doc_id stays null.  ``wide`` adds the wide SimHash
-    and its band keys (none for a text without words).
+    fingerprint zero.  A null doc_id stays null.  ``wide`` adds the wide SimHash,
+    its band keys (none for a text without words) and the shingle hashes.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if wide:
-        return rows.mapInPandas(_wide_fingerprints, "doc_id long, fp long, wide binary, bands array<long>")
+        return rows.mapInPandas(_wide_fingerprints, "doc_id long, fp long, wide binary, bands array<long>, grams binary")
     return rows.mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
@@ -231,20 +239,52 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def forest_edges(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int = RADIUS):
-    """Edges of a spanning forest of all links; role: 0 tree only, 1 query only, 2 both."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two arrays of distinct values."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / max(1, len(both) - common)
+
+
+def _verified(labels: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], level: float) -> np.ndarray:
+    """Merges the classes of the pairs whose sets are that similar; pairs within one class need no look."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    fits = np.minimum(sizes[a], sizes[b]) >= level * np.maximum(sizes[a], sizes[b]) - 1e-9
+    parent = labels.tolist()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(a[fits].tolist(), b[fits].tolist()):
+        rx, ry = root(x), root(y)
+        if rx != ry and jaccard(sets[x], sets[y]) >= level:
+            parent[max(rx, ry)] = min(rx, ry)
+    labels = np.array(parent, np.int64)
+    while (labels[labels] != labels).any():
+        labels = labels[labels]
+    return labels
+
+
+def forest_edges(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int = RADIUS, sets: list[np.ndarray] | None = None, level: float = LEVEL):
+    """Edges of a spanning forest of all links; role: 0 tree only, 1 query only, 2 both.
+
+    With ``sets``, only pairs whose sets have that similarity are links.
+    """
     trees = BKForest(shard, fp, np.flatnonzero(role != 1))
     labels = np.arange(len(fp))
     ask = np.flatnonzero(role != 0)
     for at in range(0, len(ask), 8192):
         own = ask[at : at + 8192]
         for q, node in trees.search(own, shard[own], radius):
-            labels = _join(labels, q, node)
+            labels = _join(labels, q, node) if sets is None else _verified(labels, q, node, sets, level)
     moved = np.flatnonzero(labels != np.arange(len(fp)))
     return moved, labels[moved]
 
 
-def _link(radius: int):
+def _link(radius: int, level: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
             key = pdf[["shard", "i", "j"]].to_numpy(np.int64)
@@ -257,21 +297,23 @@ def _link(radius: int):
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
             if "wide" in pdf:
                 words = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(fp), -1)
+                sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
             else:
-                words = fp.view(np.uint64)[:, None]
-            a, b = forest_edges(shard, words, pdf["role"].to_numpy(np.int64), radius)
+                words, sets = fp.view(np.uint64)[:, None], None
+            a, b = forest_edges(shard, words, pdf["role"].to_numpy(np.int64), radius, sets, level)
             return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
-        held, size = [], 0
+        held, size, load = [], 0, 0
         for pdf in batches:
             held.append(pdf)
             size += len(pdf)
-            if size < BATCH_ROWS:
+            load += int(pdf["grams"].map(len).sum()) if "grams" in pdf else 0
+            if size < BATCH_ROWS and load < BATCH_BYTES:
                 continue
             pdf = pd.concat(held, ignore_index=True)
             last = pdf.iloc[-1]
             open_ = (pdf["shard"] == last["shard"]) & (pdf["i"] == last["i"]) & (pdf["j"] == last["j"])
-            held, size = [pdf[open_]], int(open_.sum())
+            held, size, load = [pdf[open_]], int(open_.sum()), 0
             yield solve(pdf[~open_])
         if held:
             yield solve(pd.concat(held, ignore_index=True))
@@ -299,17 +341,17 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SH
 def similar_links(prints: DataFrame, level: float = LEVEL, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``simhash(wide=True)`` to edges ``(a, b)`` between fingerprints of texts of that similarity or more.
 
-    Only rows of shards with company travel with their wide bits.
+    Only rows of shards with company travel with their wide bits and shingle hashes.
     """
-    texts = materialize(prints.dropDuplicates(["fp", "wide"]).select("fp", "wide", "bands", F.xxhash64("wide").alias("text_key")), "simhash-wide")
+    texts = materialize(prints.dropDuplicates(["fp", "grams"]).select("fp", "wide", "bands", "grams", F.xxhash64("grams").alias("text_key")), "simhash-wide")
     rows = texts.select("fp", "text_key", F.explode("bands").alias("shard"))
     shared = materialize(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard"), "simhash-shared")
-    rows = rows.join(shared, "shard").join(texts.select("fp", "text_key", "wide"), ["fp", "text_key"]).drop("text_key")
-    return _linked(rows, wide_radius(level), shard_rows)
+    rows = rows.join(shared, "shard").join(texts.select("fp", "text_key", "wide", "grams"), ["fp", "text_key"]).drop("text_key")
+    return _linked(rows, wide_radius(level), shard_rows, level)
 
 
-def _linked(rows: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """``(shard, fp)``, and ``wide`` where that is the fingerprint to compare, to edges between values of ``fp``."""
+def _linked(rows: DataFrame, radius: int, shard_rows: int, level: float = LEVEL) -> DataFrame:
+    """``(shard, fp)``, and ``wide`` and ``grams`` where those are to be compared, to edges between values of ``fp``."""
     spark = rows.sparkSession
     large = materialize(
         rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows), "simhash-large"
@@ -326,11 +368,11 @@ def _linked(rows: DataFrame, radius: int, shard_rows: int) -> DataFrame:
             F.when(o == F.col("c"), 2).when(o > F.col("c"), 0).otherwise(1).alias("role"),
         ),
     )
-    wide = [c for c in rows.columns if c == "wide"]
+    wide = [c for c in rows.columns if c in ("wide", "grams")]
     spread = rows.select("shard", "fp", *wide, F.explode(pairs).alias("p")).select("shard", "p.i", "p.j", "fp", "p.role", *wide)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000" if wide else "20000")
     dealt = spread.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp")
-    return materialize(dealt.mapInPandas(_link(radius), "a long, b long").where("a <> b").distinct(), "simhash-edges")
+    return materialize(dealt.mapInPandas(_link(radius, level), "a long, b long").where("a <> b").distinct(), "simhash-edges")
 
 
 def _classes(prints: DataFrame, radius: int, level: float | None = None) -> DataFrame:
@@ -368,7 +410,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, level: float | None = LEVEL)
     """Rows of ``docs`` with one document for each group of near copies, the one with the smallest doc_id.
 
     Links are those of ``near_groups`` and those of five-word shingle sets whose
-    similarity is ``level`` or more by their wide SimHash (None: no such links).
+    exact similarity is ``level`` or more (None: no such links).
     All columns stay.  Of repeated rows of one doc_id one remains; rows without
     a doc_id remain only where no row of their group has one, one for each group.
     """

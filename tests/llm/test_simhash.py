@@ -165,6 +165,23 @@ def test_similar_texts_link(spark, docs_of, shard_rows):
                 assert low[a] == low[b], (a, b, similarity(x, y))
 
 
+@pytest.mark.parametrize("shard_rows", [4, 4096])
+def test_links_are_exact(spark, docs_of, shard_rows):
+    """Pairs of every similarity from 0.6 to 0.95: exactly those of 0.8 or more are linked."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(240):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 300 - 25 - k // 4] + [f"y{rng.randrange(10**6)}" for _ in range(k // 4)]))]
+    scores = {k: similarity(texts[2 * k][1], texts[2 * k + 1][1]) for k in range(240)}
+    assert sum(s >= 0.8 for s in scores.values()) > 60 and sum(0.7 < s < 0.8 for s in scores.values()) > 40
+    prints = simhash.simhash(docs_of(texts), wide=True).cache()
+    fp = {r.doc_id: r.fp for r in prints.collect()}
+    found = {r.node: r.component for r in components.connected_components(simhash.similar_links(prints, shard_rows=shard_rows)).collect()}
+    got = {d: found.get(p, p) for d, p in fp.items()}
+    assert {k for k in scores if got[2 * k] == got[2 * k + 1]} == {k for k, s in scores.items() if s >= 0.8}
+
+
 def test_keep_one_of_similar_texts(docs_of):
     texts = families(8)
     kept = {r.doc_id for r in simhash.keep_one(docs_of(texts)).collect()}
