@@ -1,7 +1,11 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are spans of four base patterns.  The two words before a mention are its
-lexical pattern.  Patterns and instances form a graph: a pattern's confidence in
+Seeds are spans of four base patterns.  Candidates are all words with a digit
+or an at sign, of any length.  The two words before a mention are its lexical
+pattern; earlier mentions and candidates between are passed over, so all items
+of a list have the pattern of the first, and punctuation may take the place of
+white space before the mention.  A mention with fewer than two words before it
+has no pattern.  Patterns and instances form a graph: a pattern's confidence in
 a kind is the share of its mentions whose instances are known to be of that
 kind, and an instance is known as well as its best pattern; ``ROUNDS`` rounds of
 both are grouped sums over the mentions.  Patterns with a confidence of
@@ -33,21 +37,22 @@ KINDS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_PARTS = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 NEEDS = {"email": "@", "phone": "+"}  # a character without which there is no match
-CANDIDATE = r"(?<![\w@.+-])(?=[\w@.+-]{0,62}[0-9@])[\w@.+-]{6,64}(?![\w@.+-])"
-CONTEXT = r"(\S{1,40}\s+\S{1,40})\s+\W*$"
+CANDIDATE = r"(?<![\w@.+-])(?=[A-Za-z_.+-]*+[0-9@])[\w@.+-]++"
+CONTEXT = r"(\S{1,40}\s+\S{0,39}[\p{L}\p{N}_])[^\p{L}\p{N}_]+$"
+LEFT = 192
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
 BROADCAST_ROWS = 100_000
 _SPAN = "struct<start:int,end:int,v:string,left:string>"
 
 
 def _matches(text: str, pattern: str) -> Column:
-    """Array of (start, end, v, left): code points, end exclusive, the match and up to 96 characters before it."""
+    """Array of (start, end, v, left): code points, end exclusive, the match and up to ``LEFT`` characters before it without earlier matches."""
     return F.expr(
         f"""aggregate(
-          zip_with(slice(s_, 1, size(m_)), m_, (a, b) -> named_struct('gap', length(a), 'len', length(b), 'v', b, 'left', right(a, 96))),
-          named_struct('pos', 0, 'out', cast(array() as array<{_SPAN}>)),
-          (acc, x) -> named_struct('pos', acc.pos + x.gap + x.len, 'out', array_append(acc.out,
-             named_struct('start', acc.pos + x.gap, 'end', acc.pos + x.gap + x.len, 'v', x.v, 'left', x.left))),
+          zip_with(slice(s_, 1, size(m_)), m_, (a, b) -> named_struct('gap', length(a), 'len', length(b), 'v', b, 'left', right(a, {LEFT}))),
+          named_struct('pos', 0, 'tail', '', 'out', cast(array() as array<{_SPAN}>)),
+          (acc, x) -> named_struct('pos', acc.pos + x.gap + x.len, 'tail', right(concat(acc.tail, x.left), {LEFT}), 'out', array_append(acc.out,
+             named_struct('start', acc.pos + x.gap, 'end', acc.pos + x.gap + x.len, 'v', x.v, 'left', right(concat(acc.tail, x.left), {LEFT})))),
           acc -> acc.out)"""
     )
 
@@ -87,7 +92,7 @@ def row_key() -> Column:
 
 
 def _context(left: Column) -> Column:
-    words = F.regexp_extract(left, CONTEXT, 1)
+    words = F.regexp_extract(F.regexp_replace(left, CANDIDATE, ""), CONTEXT, 1)
     shape = F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]+", "#"), r"\s+", " ")
     return F.when(shape != "", shape)
 

@@ -87,6 +87,25 @@ def test_patterns_discover(docs_of):
     assert all(rows[k].count("email") == 1 for k in range(8))
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("Please write to ab_12345, cd_67890, ef_11111 about it.", ["ab_12345", "cd_67890", "ef_11111"]),
+        ("Please write to x1@y1.org jane_at_host42 soon.", ["x1@y1.org", "jane_at_host42"]),
+        ("Please write to 4111 1111 1111 1111, jane_at_host42 soon.", ["jane_at_host42"]),
+        ("Please write to=ab_12345 soon.", ["ab_12345"]),
+        ("Please write to:(cd_67890) soon.", ["cd_67890"]),
+        ("Please write to " + "long_" * 40 + "1 soon.", ["long_" * 40 + "1"]),
+        ("Please write to a1 soon.", ["a1"]),
+    ],
+)
+def test_every_mention_has_a_context(docs_of, text, values):
+    """Items of a list, mentions after others, glued ones, short and long ones."""
+    docs = [*planted()[:8], (100, text)]
+    spans = {r.doc_id: r.spans for r in pii.find_pii(docs_of(docs)).collect()}[100]
+    assert [s for s in spans.split(",") if s.startswith("email")] == [f"email:{text.index(v)}:{text.index(v) + len(v)}" for v in values]
+
+
 def test_redact(docs_of):
     docs = [*planted(), *ODD, (200, "Call +1 (555) 123-4567 or 10.0.0.1, \U0001f600 a@b.co")]
     source = docs_of(docs)
