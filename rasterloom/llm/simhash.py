@@ -18,8 +18,9 @@ angle between two sets, hence their Jaccard similarity.  Its shards are keyed by
 ``LINK_BANDS`` pairs of minima over the shingles' hashes, which two texts of that
 similarity share in at least one band but for 8 in 100 million cases; the same
 trees are built and searched there, with ``SLACK`` standard deviations to spare
-(3 in 10 million).  What they find are candidates only: each becomes a link if
-the exact Jaccard similarity of the two sets of 64-bit shingle hashes is
+(3 in 10 million).  What they find are candidates only.  Texts that candidates
+connect meet once more with their shingles, and a pair becomes a link if the
+exact Jaccard similarity of the two sets of 64-bit shingle hashes is
 ``level`` or more, and is left unchecked only where links join the two already.
 """
 
@@ -113,10 +114,10 @@ class WidePrinter:
         return np.unique(out)
 
     def __call__(self, text: str | None) -> tuple[bytes, list[int]]:
-        return self.prints(text)[:2]
+        return self.prints(text, BANDS)
 
-    def prints(self, text: str | None, bands: int = BANDS) -> tuple[bytes, list[int], bytes]:
-        """Wide SimHash, band keys and the sorted shingle hashes."""
+    def prints(self, text: str | None, bands: int) -> tuple[bytes, list[int]]:
+        """Wide SimHash and so many band keys."""
         h = self._shingles(text)
         total = np.zeros((8 * WIDE_WORDS, 8), np.int64)
         low = np.full(WIDE_WORDS, ~np.uint64(0))
@@ -131,7 +132,7 @@ class WidePrinter:
             total += seen.reshape(-1, 256) @ _BYTE_BITS
         bits = np.packbits(2 * total > len(h), axis=1, bitorder="little")
         keys = (low[: 2 * bands : 2] * POWERS[0] + low[1 : 2 * bands : 2] * POWERS[1]) ^ np.arange(bands, dtype=np.uint64)
-        return bits.tobytes(), keys.view(np.int64).tolist() if len(h) else [], h.tobytes()
+        return bits.tobytes(), keys.view(np.int64).tolist() if len(h) else []
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,8 +144,14 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _wide_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     printer = WidePrinter()
     for pdf, out in ((p, next(_fingerprints(iter([p])))) for p in batches):
-        wide, bands, grams = zip(*(printer.prints(t, LINK_BANDS) for t in pdf["text"])) if len(pdf) else ((), (), ())
-        yield out.assign(wide=list(wide), bands=list(bands), grams=list(grams))
+        both = [printer.prints(t, LINK_BANDS) for t in pdf["text"]]
+        yield out.assign(wide=[w for w, _ in both], bands=[b for _, b in both], text=pdf["text"])
+
+
+def _with_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    printer = WidePrinter()
+    for pdf in batches:
+        yield pdf[["shard", "fp", "wide"]].assign(grams=[printer._shingles(t).tobytes() for t in pdf["text"]])
 
 
 def simhash(docs: DataFrame, wide: bool = False) -> DataFrame:
@@ -152,12 +159,12 @@ def simhash(docs: DataFrame, wide: bool = False) -> DataFrame:
 
     A null text counts as empty, and an empty text or one without words has
     fingerprint zero.  A null doc_id stays null.  ``wide`` adds the wide SimHash,
-    its band keys (none for a text without words) and the shingle hashes.
+    its band keys (none for a text without words) and the text.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if wide:
-        return rows.mapInPandas(_wide_fingerprints, "doc_id long, fp long, wide binary, bands array<long>, grams binary")
+        return rows.mapInPandas(_wide_fingerprints, "doc_id long, fp long, wide binary, bands array<long>, text string")
     return rows.mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
@@ -297,7 +304,7 @@ def _link(radius: int, level: float):
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
             if "wide" in pdf:
                 words = np.frombuffer(b"".join(pdf["wide"]), np.uint64).reshape(len(fp), -1)
-                sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+                sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]] if "grams" in pdf else None
             else:
                 words, sets = fp.view(np.uint64)[:, None], None
             a, b = forest_edges(shard, words, pdf["role"].to_numpy(np.int64), radius, sets, level)
@@ -341,13 +348,23 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SH
 def similar_links(prints: DataFrame, level: float = LEVEL, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``simhash(wide=True)`` to edges ``(a, b)`` between fingerprints of texts of that similarity or more.
 
-    Only rows of shards with company travel with their wide bits and shingle hashes.
+    Only rows of shards with company travel with their wide bits, and only texts
+    with a candidate with their shingle hashes, once for each chunk they meet.
     """
-    texts = materialize(prints.dropDuplicates(["fp", "grams"]).select("fp", "wide", "bands", "grams", F.xxhash64("grams").alias("text_key")), "simhash-wide")
+    small_batches(prints.sparkSession)
+    keyed = prints.withColumn("text_key", F.xxhash64("text"))
+    texts = materialize(keyed.select("fp", "text_key", "wide", "bands").dropDuplicates(["fp", "text_key"]), "simhash-wide")
     rows = texts.select("fp", "text_key", F.explode("bands").alias("shard"))
     shared = materialize(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard"), "simhash-shared")
-    rows = rows.join(shared, "shard").join(texts.select("fp", "text_key", "wide", "grams"), ["fp", "text_key"]).drop("text_key")
-    return _linked(rows, wide_radius(level), shard_rows, level)
+    rows = rows.join(shared, "shard").join(texts.select("fp", "text_key", "wide"), ["fp", "text_key"]).drop("text_key")
+    candidates = _linked(rows, wide_radius(level), shard_rows)
+    groups = connected_components(candidates).select(F.col("node").alias("fp"), F.col("component").alias("shard"))
+    # Copies fold before the join, so no fingerprint is hot in it.
+    bodies = keyed.select("fp", "text_key", "wide", "text").dropDuplicates(["fp", "text_key"])
+    small_batches(prints.sparkSession)
+    bodies = bodies.join(groups, "fp").select("shard", "fp", "wide", "text")
+    grams = materialize(bodies.mapInPandas(_with_shingles, "shard long, fp long, wide binary, grams binary"), "simhash-grams")
+    return _linked(grams, wide_radius(level), shard_rows, level)
 
 
 def _linked(rows: DataFrame, radius: int, shard_rows: int, level: float = LEVEL) -> DataFrame:
@@ -370,7 +387,7 @@ def _linked(rows: DataFrame, radius: int, shard_rows: int, level: float = LEVEL)
     )
     wide = [c for c in rows.columns if c in ("wide", "grams")]
     spread = rows.select("shard", "fp", *wide, F.explode(pairs).alias("p")).select("shard", "p.i", "p.j", "fp", "p.role", *wide)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000" if wide else "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000" if "grams" in wide else "20000")
     dealt = spread.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp")
     return materialize(dealt.mapInPandas(_link(radius, level), "a long, b long").where("a <> b").distinct(), "simhash-edges")
 
