@@ -52,11 +52,12 @@ def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` has no paths, so each gets source/thousands/hundreds/doc_id."""
+    """``documents`` has no paths, so each gets source/thousands/hundreds/doc_id; a row without doc_id has none and inherits nothing."""
     from .licenses import scan
 
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.col("doc_id"))
+    path = F.when(F.col("doc_id").isNotNull(), path)
     return scan(docs, path)
 
 

@@ -16,13 +16,17 @@ def words(line):
     return re.findall(r"[^\W_]+", line.lower())
 
 
-def lines_of(text):
-    out = []
-    for line in (text or "").split("\n"):
-        if re.search(licenses.SPEAKS, line):
-            line = re.sub(r"[ \t\x0b\f\r]+", " ", line).strip(" ")
-            if line not in out:
-                out.append(line)
+def windows_of(text):
+    """The stretches of tokens that templates would fill around anchors, each with its share of the text."""
+    t, out = words(text or ""), {}
+    for shape in {x for own in licenses.TEMPLATES.values() for x in own}:
+        u = words(shape)
+        anchors = [k for k, w in enumerate(u) if w in licenses.ANCHORS]
+        for k in (anchors[0], anchors[-1]):
+            for at in (i for i, w in enumerate(t) if w == u[k]):
+                w = t[max(0, at - k) : max(0, at - k + len(u))]
+                if len(set(w) & set(u)) >= licenses.SHARED * len(set(u)):
+                    out[" ".join(w)] = len(w) / len(t)
     return out
 
 
@@ -59,26 +63,25 @@ def brute_lines(counts):
 
 
 def brute_scan(files):
-    """[(doc_id, path, text)] to {(doc_id, path): (licence, origin)}."""
-    counts = Counter(line for _, _, t in files for line in lines_of(t))
+    """[(doc_id, path, text)] to {(doc_id, path, text): (licence, origin)}."""
+    counts = Counter(line for _, _, t in set(files) for line in windows_of(t))
     scored = brute_lines(counts)
     own, votes = {}, {}
-    for d, p, t in files:
-        hits = [scored[x] for x in lines_of(t) if x in scored]
+    for d, p, t in set(files):
+        hits = {w: s for w, s in windows_of(t).items() if w in scored}
         if hits:
-            own[d, p] = min(hits, key=lambda h: (-h[1], h[0]))[0]
-            share = sum(len(re.sub(r"\s+", " ", x).strip(" ")) for x in t.split("\n") if re.search(licenses.SPEAKS, x)) / max(1, len(t))
-            if p is not None and (share >= licenses.FILE_SHARE or re.search(licenses.FILE_NAME, p)):
-                votes.setdefault(p.rpartition("/")[0], Counter())[own[d, p]] += 1
+            own[d, p, t] = min((scored[w] for w in hits), key=lambda h: (-h[1], h[0]))[0]
+            if p is not None and (max(hits.values()) >= licenses.FILE_SHARE or re.search(licenses.FILE_NAME, p)):
+                votes.setdefault(p.rpartition("/")[0], Counter())[own[d, p, t]] += 1
     out = {}
-    for d, p, _ in files:
-        if (d, p) in own:
-            out[d, p] = (own[d, p], "own")
+    for d, p, t in files:
+        if (d, p, t) in own:
+            out[d, p, t] = (own[d, p, t], "own")
             continue
         at = None if p is None else p.rpartition("/")[0]
         while at is not None and at not in votes:
             at = at.rpartition("/")[0] if at else None
-        out[d, p] = (min(votes[at].items(), key=lambda v: (-v[1], v[0]))[0], "inherited") if at is not None else (None, "none")
+        out[d, p, t] = (min(votes[at].items(), key=lambda v: (-v[1], v[0]))[0], "inherited") if at is not None else (None, "none")
     return out
 
 
@@ -95,7 +98,7 @@ def frame(spark, files):
 
 def check(rows, files):
     want = brute_scan(files)
-    assert sorted((str(r.doc_id), str(r.path), r.license, r.origin) for r in rows) == sorted((str(d), str(p), *want[d, p]) for d, p, _ in files)
+    assert sorted((str(r.doc_id), str(r.path), str(r.license), r.origin) for r in rows) == sorted((str(d), str(p), str(want[d, p, t][0]), want[d, p, t][1]) for d, p, t in files)
 
 
 def test_scan(spark):
@@ -107,9 +110,32 @@ def test_scan(spark):
 
 def test_odd_rows(spark):
     files = [(d, None if d is None else f"odd/{d}", t) for d, t in ODD] + [(50, "odd/LICENSE", "The MIT License (MIT)"), (50, "odd/LICENSE", "The MIT License (MIT)")]
+    files += [(None, "same/path", "Released under the MIT License. And more text that follows here, of which there is plenty"), (None, "same/path", "no such thing")]
+    files += [(60, "one/path", "Licensed under CC BY 4.0. Then a text that goes on and on for some more words than that"), (60, "one/path", "plain")]
     check(licenses.scan(frame(spark, files)).collect(), files)
 
 
+def test_every_template_is_found(spark):
+    """Whole, wrapped over commented lines, and inside a long line."""
+    files, want = [], {}
+    for name, own in licenses.TEMPLATES.items():
+        for t in own:
+            u = t.split(" ")
+            forms = [t, "\n".join(" * " + " ".join(u[k : k + 7]) for k in range(0, len(u), 7)), "word after word " * 40 + t + " and so on" * 40]
+            for f in forms:
+                want[len(files)] = name
+                files.append((len(files), f"f/{len(files)}/x", f))
+    found = {r.doc_id: r for r in licenses.scan(frame(spark, files)).collect()}
+    assert {k: r.license for k, r in found.items()} == want and all(r.origin == "own" and r.score > 0.9 for r in found.values())
+
+
+def test_null_ids_keep_their_own_licence(spark, tmp_path):
+    docs = [(None, "Released under the MIT License.", "web"), (None, "plain text", "web"), (None, None, None), (7, "Licensed under CC BY 4.0.", "web")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.license, r.origin) for r in op5_licence_scan(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [("MIT", "own"), (None, "none"), (None, "none"), ("CC-BY-4.0", "own")]))
+
+
 def test_empty(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
