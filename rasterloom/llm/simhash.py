@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize, small_batches
+from .storage import batch_rows, materialize, small_batches
 
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -43,6 +43,7 @@ SHARD_ROWS = 4096
 BATCH_ROWS = 65_536
 FRONTIER = 1 << 20
 SPREAD = 8
+HOT_ROWS, BROADCAST_ROWS = 10_000, 100_000
 SHINGLE, LEVEL = 5, 0.8
 WIDE_WORDS, BANDS, LINK_BANDS, SLACK = 32, 8, 16, 5.0
 BATCH_BYTES = 64 << 20
@@ -138,7 +139,7 @@ class WidePrinter:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp, "text_key": pdf["text_key"]})
 
 
 def _wide_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,17 +156,21 @@ def _with_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def simhash(docs: DataFrame, wide: bool = False) -> DataFrame:
-    """``(doc_id, text)`` to ``(doc_id, fp)``: one row per input row, ``fp`` the fingerprint's bits as a signed long.
+    """``(doc_id, text)`` to ``(doc_id, fp, text_key)``: one row per input row, ``fp`` the fingerprint's bits as a signed long.
 
     A null text counts as empty, and an empty text or one without words has
     fingerprint zero.  A null doc_id stays null.  ``wide`` adds the wide SimHash,
     its band keys (none for a text without words) and the text.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key"))
     if wide:
-        return rows.mapInPandas(_wide_fingerprints, "doc_id long, fp long, wide binary, bands array<long>, text string")
-    return rows.mapInPandas(_fingerprints, "doc_id long, fp long")
+        return rows.mapInPandas(_wide_fingerprints, "doc_id long, fp long, text_key long, wide binary, bands array<long>, text string")
+    return rows.mapInPandas(_fingerprints, "doc_id long, fp long, text_key long")
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 class BKForest:
@@ -352,15 +357,14 @@ def similar_links(prints: DataFrame, level: float = LEVEL, shard_rows: int = SHA
     with a candidate with their shingle hashes, once for each chunk they meet.
     """
     small_batches(prints.sparkSession)
-    keyed = prints.withColumn("text_key", F.xxhash64("text"))
-    texts = materialize(keyed.select("fp", "text_key", "wide", "bands").dropDuplicates(["fp", "text_key"]), "simhash-wide")
+    texts = materialize(prints.select("fp", "text_key", "wide", "bands").dropDuplicates(["fp", "text_key"]), "simhash-wide")
     rows = texts.select("fp", "text_key", F.explode("bands").alias("shard"))
     shared = materialize(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard"), "simhash-shared")
     rows = rows.join(shared, "shard").join(texts.select("fp", "text_key", "wide"), ["fp", "text_key"]).drop("text_key")
     candidates = _linked(rows, wide_radius(level), shard_rows)
     groups = connected_components(candidates).select(F.col("node").alias("fp"), F.col("component").alias("shard"))
     # Copies fold before the join, so no fingerprint is hot in it.
-    bodies = keyed.select("fp", "text_key", "wide", "text").dropDuplicates(["fp", "text_key"])
+    bodies = prints.select("fp", "text_key", "wide", "text").dropDuplicates(["fp", "text_key"])
     small_batches(prints.sparkSession)
     bodies = bodies.join(groups, "fp").select("shard", "fp", "wide", "text")
     grams = materialize(bodies.mapInPandas(_with_shingles, "shard long, fp long, wide binary, grams binary"), "simhash-grams")
@@ -387,14 +391,16 @@ def _linked(rows: DataFrame, radius: int, shard_rows: int, level: float = LEVEL)
     )
     wide = [c for c in rows.columns if c in ("wide", "grams")]
     spread = rows.select("shard", "fp", *wide, F.explode(pairs).alias("p")).select("shard", "p.i", "p.j", "fp", "p.role", *wide)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000" if "grams" in wide else "20000")
     dealt = spread.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp")
-    return materialize(dealt.mapInPandas(_link(radius, level), "a long, b long").where("a <> b").distinct(), "simhash-edges")
+    with batch_rows(spark, 2000 if "grams" in wide else 20_000):
+        return materialize(dealt.mapInPandas(_link(radius, level), "a long, b long").where("a <> b").distinct(), "simhash-edges")
 
 
 def _classes(prints: DataFrame, radius: int, level: float | None = None) -> DataFrame:
-    """``(doc_id, fp)`` to ``(fp, component, component_id)``, one row per fingerprint."""
-    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
+    """``(doc_id, fp, text_key)`` to one row per fingerprint: fp, n (rows), component, component_id and ``low``,
+    which names the row of that fingerprint with the smallest doc_id."""
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id"), F.col("text_key"))).alias("low")
+    fps = materialize(prints.groupBy("fp").agg(low, F.count(F.lit(1)).alias("n")), "simhash-fps")
     edges = fingerprint_links(fps.select("fp"), radius)
     if level is not None:
         edges = edges.unionAll(similar_links(prints, level))
@@ -403,10 +409,10 @@ def _classes(prints: DataFrame, radius: int, level: float | None = None) -> Data
     named = named.withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(SPREAD)).cast("int")), "simhash-named")
     # The members of a hot component meet its smallest id in SPREAD tasks; a fingerprint without links is its own component.
-    lowest = named.where("linked").groupBy("component").agg(F.min("low").alias("component_id"))
+    lowest = named.where("linked").groupBy("component").agg(F.min("low.doc_id").alias("component_id"))
     lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    met = named.where("linked").join(lowest, ["component", "salt"]).select("fp", "component", "component_id")
-    alone = named.where("not linked").select("fp", "component", F.col("low").alias("component_id"))
+    met = named.where("linked").join(lowest, ["component", "salt"]).select("fp", "n", "component", "component_id", "low")
+    alone = named.where("not linked").select("fp", "n", "component", F.col("low.doc_id").alias("component_id"), "low")
     return materialize(met.unionAll(alone), "simhash-ids")
 
 
@@ -419,8 +425,14 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     A component whose doc_ids are all null has a null id.
     """
     prints = materialize(simhash(docs), "simhash-docs")
-    ids = _classes(prints, radius).select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = _classes(prints, radius)
+    hot = ids.where(F.col("n") > HOT_ROWS).select("fp", "component_id")
+    rows, rest, out = prints.select("doc_id", "fp"), ids.select("fp", "component_id"), ["doc_id", "fp", "component_id"]
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return rows.join(rest, "fp").select(out)
+    # Rows of hot fingerprints find their id without a shuffle.
+    cold = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return rows.join(F.broadcast(hot), "fp").select(out).unionAll(cold.select(out))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, level: float | None = LEVEL) -> DataFrame:
@@ -428,18 +440,23 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, level: float | None = LEVEL)
 
     Links are those of ``near_groups`` and those of five-word shingle sets whose
     exact similarity is ``level`` or more (None: no such links).
-    All columns stay.  Of repeated rows of one doc_id one remains; rows without
-    a doc_id remain only where no row of their group has one, one for each group.
+    All columns stay.  Rows are told apart by doc_id and text: of different
+    texts under one doc_id each speaks for its own group, and of rows equal in
+    both one remains.  Rows without a doc_id remain only where no row of their
+    group has one, one for each group.
     """
     prints = materialize(simhash(docs, wide=level is not None), "simhash-docs")
     ids = _classes(prints, radius, level)
-    keep = prints.join(ids, "fp").where("doc_id = component_id").select("doc_id").distinct()
-    keep = materialize(keep, "simhash-keep")
-    out = docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    if prints.where("doc_id is null").isEmpty():
-        return out
-    own = F.pandas_udf(lambda s: pd.Series(np.array([fingerprint(t) for t in s], np.uint64).view(np.int64)), "long")
-    bare = docs.where("doc_id is null").withColumn("_fp", own(F.col("text").cast("string")))
-    lone = ids.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
-    bare = bare.join(lone, "_fp").dropDuplicates(["_component"])
-    return out.unionByName(bare.select(docs.columns))
+    key = [F.col("low.doc_id").alias("_keep_doc"), F.col("low.text_key").alias("_keep_text")]
+    keep = materialize(ids.groupBy("component").agg(F.min("low").alias("low")).select(key), "simhash-keep")
+    times = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = times.select(F.col("doc_id").alias("_again_doc"), F.col("text_key").alias("_again_text"))
+    again = materialize(again, "simhash-again")
+    rows = docs.withColumn("_text_key", _text_key())
+    same = lambda d, t: (F.col("_text_key") == F.col(t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))
+    out = rows.join(keep, same("_keep_doc", "_keep_text"), "left_semi")
+    if again.isEmpty():
+        return out.select(docs.columns)
+    once = out.join(again, same("_again_doc", "_again_text"), "left_anti")
+    more = out.join(again, same("_again_doc", "_again_text"), "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return once.unionByName(more).select(docs.columns)

@@ -99,6 +99,22 @@ def test_keep_one_of_odd_rows(odd):
     assert len(rows) == len(set(label.values()))
 
 
+def test_keep_one_of_one_id_on_two_texts(docs_of):
+    """Different texts under one doc_id both remain, in whatever groups they are; equal rows fold."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    docs = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c), (4, "another text that is like none of these at all"), (None, "nobody owns this one, and nothing is like it"), (None, c)]
+    kept = simhash.keep_one(docs_of(docs)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("1", b), ("4", c), ("4", docs[6][1]), ("None", docs[7][1])])
+
+
+def test_hot_fingerprints(docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    docs = [(k, "one text for all of them" if k % 3 else f"text number {k} of its own") for k in range(30)]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_groups(docs_of(docs)).collect())
+    label = brute_groups({d: brute_fingerprint(t) for d, t in docs})
+    assert got == sorted(label.items())
+
+
 def test_empty(empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
