@@ -3,8 +3,9 @@
 Texts are cut into segments of ``SEGMENT`` bytes.  The network labels every
 byte of every segment, and a document's probability of a language is the mean
 over all its bytes.  Weights are learned in numpy by backpropagation through
-time from at most ``PER_LANGUAGE`` documents of each language and
-``FIT_SEGMENTS`` segments of each document, spread over its whole text.
+time from a bounded sample: at most ``per_language`` documents of each language,
+however many languages there are, and ``segments_each`` segments of each
+document, spread over its whole text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .neural import Adam, column_sums, f32, fold, gru_backward, gru_forward, gru_params, uniform
@@ -27,7 +28,6 @@ FIT_SEGMENTS = 12
 ROUNDS = 320
 BATCH = 256
 WIDE = 1024
-MAX_LANGUAGES = 256
 
 
 def segments(text: str) -> np.ndarray:
@@ -112,32 +112,45 @@ def segment_sums(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty((0, p["W"].shape[1]), f32)
 
 
-def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
-            seg = segments(text)
-            if len(seg):
-                pick = np.unique(np.linspace(0, len(seg) - 1, min(FIT_SEGMENTS, len(seg))).astype(int))
-                rows += [(doc_id, lang, int(k), seg[k].tobytes()) for k in pick]
-        yield pd.DataFrame(rows, columns=["doc_id", "lang", "k", "seg"])
+def _fit_rows(segments_each: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
+                seg = segments(text)
+                if len(seg):
+                    pick = np.unique(np.linspace(0, len(seg) - 1, min(segments_each, len(seg))).astype(int))
+                    rows += [(doc_id, lang, int(k), seg[k].tobytes()) for k in pick]
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "k", "seg"])
+
+    return run
+
 
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, mod: int = 4, out: int = 2) -> DataFrame:
+    """(doc_id, lang, text) of at most ``per_language`` documents of every language outside the held-out fold, by a hash of their id.
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, mod: int = 4, out: int = 2) -> tuple[dict, list[str]]:
-    """Learns from text and lang of documents outside the held-out fold; returns weights and language names."""
-    known = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
+    One scan ranks ids without texts, and each task keeps only its first ones;
+    another reads the chosen texts.  Of different texts under one doc_id and
+    lang the first in order counts.
+    """
+    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (fold("doc_id", mod) != out))
-    names = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
+    # At most per_language rows for each language.
+    rows = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, segments_each: int = FIT_SEGMENTS, mod: int = 4, out: int = 2) -> tuple[dict, list[str]]:
+    """Learns from the ``sample``; returns weights and language names."""
+    rows = sample(docs, per_language, mod, out).mapInPandas(_fit_rows(segments_each), "doc_id long, lang string, k long, seg binary")
+    pdf = rows.toPandas().sort_values(["doc_id", "k", "lang", "seg"], ignore_index=True)
+    names = sorted(pdf["lang"].unique())
     if not names:
         return {}, []
-    ids = None
-    for name in names:
-        own = known.where(F.col("lang") == name).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        ids = own if ids is None else ids.unionAll(own)
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id").mapInPandas(_fit_rows, "doc_id long, lang string, k long, seg binary")
-    pdf = rows.toPandas().sort_values(["doc_id", "k", "lang", "seg"], ignore_index=True)
-    ids_ = np.stack([np.frombuffer(s, np.int16) for s in pdf["seg"]])
-    return train(ids_, pdf["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(), len(names)), names
+    ids = np.stack([np.frombuffer(s, np.int16) for s in pdf["seg"]])
+    return train(ids, pdf["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(), len(names)), names
 
 
 def _predictor(p: dict, names: list[str]):

@@ -6,8 +6,8 @@ the passage and against the document so far) and passed through a hidden layer;
 gated attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``, weighs the hidden
 vectors of a bag, and a logistic unit scores their weighted sum (Ilse et al.,
 "Attention-based Deep Multiple Instance Learning", 2018).  Only document labels
-are used.  The fit reads at most ``PER_CLASS`` documents of each label and
-``FIT_PASSAGES`` passages spread over the whole text of each.
+are used.  The fit reads a bounded sample: at most ``per_class`` documents of
+each label and ``passages_each`` passages spread over the whole text of each.
 """
 
 from __future__ import annotations
@@ -162,20 +162,23 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = ROUNDS,
     return p
 
 
-def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        x, owner = encode(pdf["text"].tolist())
-        rows = []
-        for k, (doc_id, y) in enumerate(zip(pdf["doc_id"], pdf["y"])):
-            own = np.flatnonzero(owner == k)
-            pick = own[np.unique(np.linspace(0, len(own) - 1, min(FIT_PASSAGES, len(own))).astype(int))]
-            rows += [(doc_id, y, int(i - own[0]), x[i].tobytes()) for i in pick]
-        yield pd.DataFrame(rows, columns=["doc_id", "y", "k", "x"])
+def _fit_rows(passages_each: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, owner = encode(pdf["text"].tolist())
+            rows = []
+            for k, (doc_id, y) in enumerate(zip(pdf["doc_id"], pdf["y"])):
+                own = np.flatnonzero(owner == k)
+                pick = own[np.unique(np.linspace(0, len(own) - 1, min(passages_each, len(own))).astype(int))]
+                rows += [(doc_id, y, int(i - own[0]), x[i].tobytes()) for i in pick]
+            yield pd.DataFrame(rows, columns=["doc_id", "y", "k", "x"])
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict[str, np.ndarray]:
-    """Learns from documents outside the held-out fold."""
-    rows = labelled_sample(docs, labels, "quality", per_class).mapInPandas(_fit_rows, "doc_id long, y int, k long, x binary")
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, passages_each: int = FIT_PASSAGES) -> dict[str, np.ndarray]:
+    """Learns from a bounded sample of documents outside the held-out fold."""
+    rows = labelled_sample(docs, labels, "quality", per_class).mapInPandas(_fit_rows(passages_each), "doc_id long, y int, k long, x binary")
     pdf = rows.toPandas().sort_values(["doc_id", "k", "x"], ignore_index=True)
     if not len(pdf):
         return train(np.empty((0, FEATURES), f32), np.empty(0, np.int64), np.empty(0, np.int64))

@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 def _judged(rows: DataFrame, level: float) -> DataFrame:
     from .neural import fold
 
-    held = (fold("doc_id", 3) == 1).alias("held_out")
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")  # a row without id is in no fold
     return rows.select("doc_id", held, "score", (F.col("score") >= level).cast("int").alias("predicted"))
 
 
@@ -42,7 +42,7 @@ def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     rows = predict(docs, fit(docs))
-    return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

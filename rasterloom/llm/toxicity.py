@@ -17,9 +17,9 @@ are computed once.
 
 Labels belong to documents, so learning alternates: score every window of the
 sample, take the most toxic windows of toxic documents as positive, and the
-most toxic and some other windows of the rest as negative.  The sample holds at
-most ``PER_CLASS`` documents of each label, and ``FIT_WINDOWS`` windows spread
-over the whole text of each.
+most toxic and some other windows of the rest as negative.  The sample is
+bounded: at most ``per_class`` documents of each label, and ``windows_each``
+windows spread over the whole text of each.
 """
 
 from __future__ import annotations
@@ -297,15 +297,18 @@ def train(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, vocab: Vocabulary, se
     return net
 
 
-def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text, y in zip(pdf["doc_id"], pdf["text"], pdf["y"]):
-            words = split(text)
-            starts = np.arange(max(1, -(-max(0, len(words) - WINDOW) // STRIDE) + 1)) * STRIDE
-            pick = starts[np.unique(np.linspace(0, len(starts) - 1, min(FIT_WINDOWS, len(starts))).astype(int))]
-            rows += [(doc_id, y, int(k), " ".join(words[k : k + WINDOW])) for k in pick]
-        yield pd.DataFrame(rows, columns=["doc_id", "y", "k", "words"])
+def _fit_rows(windows_each: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text, y in zip(pdf["doc_id"], pdf["text"], pdf["y"]):
+                words = split(text)
+                starts = np.arange(max(1, -(-max(0, len(words) - WINDOW) // STRIDE) + 1)) * STRIDE
+                pick = starts[np.unique(np.linspace(0, len(starts) - 1, min(windows_each, len(starts))).astype(int))]
+                rows += [(doc_id, y, int(k), " ".join(words[k : k + WINDOW])) for k in pick]
+            yield pd.DataFrame(rows, columns=["doc_id", "y", "k", "words"])
+
+    return run
 
 
 Model = tuple[dict[str, np.ndarray], dict[str, dict[str, int]]]
@@ -356,9 +359,9 @@ def learn(pdf: pd.DataFrame) -> Model:
     return net.p | {"pool": fit_pool(x[use], y[use])}, vocab.rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Learns from documents outside the held-out fold."""
-    rows = labelled_sample(docs, labels, "toxic", per_class).mapInPandas(_fit_rows, "doc_id long, y int, k long, words string")
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, windows_each: int = FIT_WINDOWS) -> Model:
+    """Learns from a bounded sample of documents outside the held-out fold."""
+    rows = labelled_sample(docs, labels, "toxic", per_class).mapInPandas(_fit_rows(windows_each), "doc_id long, y int, k long, words string")
     return learn(rows.toPandas())
 
 

@@ -178,3 +178,75 @@ def test_nothing_to_learn(spark, odd, empty):
         assert toxicity.score(odd, toxicity.fit(odd, labels)).count() == len(ODD)
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(odd)).collect()} == {"und"}
     assert langid.predict(empty, langid.fit(empty)).count() == 0
+
+
+def plain_gru(p, d, inputs):
+    """Hidden states of direction d, one step and one unit at a time."""
+    size, h, out = p["U"].shape[2], np.zeros(p["U"].shape[2]), []
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for x in inputs:
+        g, new = p["U"][d] @ h, np.zeros(size)
+        for k in range(size):
+            z, r = sig(x[k] + g[k]), sig(x[size + k] + g[size + k])
+            n = np.tanh(x[2 * size + k] + r * (g[2 * size + k] + p["bn"][d, k, 0]))
+            new[k] = z * h[k] + (1 - z) * n
+        h = new
+        out.append(h)
+    return out
+
+
+def test_byte_labels_equal_a_plain_network():
+    rng = np.random.default_rng(4)
+    p = neural.gru_params(rng, langid.HIDDEN) | {"X": neural.uniform(rng, 2, 3 * langid.HIDDEN, 257, scale=0.5), "W": neural.uniform(rng, 2, 3, langid.HIDDEN), "b": rng.normal(size=(3, 1)).astype("f4")}
+    ids = langid.segments("Grüße aus der Ferne, and some more text to fill two segments of it.")
+    got = langid.position_probabilities(p, ids)
+    for n, seg in enumerate(ids):
+        one = plain_gru(p, 0, [p["X"][0][:, b] for b in seg])
+        two = plain_gru(p, 1, [p["X"][1][:, b] for b in seg[::-1]])[::-1]
+        for t in range(langid.SEGMENT):
+            e = np.exp(p["W"][0] @ one[t] + p["W"][1] @ two[t] + p["b"][:, 0])
+            assert np.allclose(got[:, n, t], e / e.sum(), atol=1e-4)
+
+
+def test_quality_scores_equal_plain_attention():
+    rng = np.random.default_rng(5)
+    H, G, D = quality_mil.HIDDEN, quality_mil.GATE, quality_mil.FEATURES
+    p = {"W": rng.normal(size=(D, H)), "b": rng.normal(size=H), "V": rng.normal(size=(H, G)), "U": rng.normal(size=(H, G)), "w": rng.normal(size=G), "c": rng.normal(size=H), "d": rng.normal(size=1)}
+    texts = ["", None, "one short text.", " ".join(f"word{k % 37}" for k in range(300))]
+    x, owner = quality_mil.encode(texts)
+    assert np.bincount(owner).tolist() == [1, 1, 1, 5]
+    for k, got in enumerate(quality_mil.scores(texts, p)):
+        h = [np.tanh(row @ p["W"] + p["b"]) for row in x[owner == k]]
+        e = [np.exp(sum(p["w"][g] * np.tanh(v @ p["V"][:, g]) / (1 + np.exp(-(v @ p["U"][:, g]))) for g in range(G))) for v in h]
+        z = sum(a / sum(e) * v for a, v in zip(e, h))
+        assert abs(got - 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))) < 1e-6
+
+
+def test_window_scores_equal_a_plain_network():
+    rng = np.random.default_rng(6)
+    net = toxicity.Network.fresh(2)
+    words = 9
+    inputs = (np.r_[0, 0, rng.integers(0, 50, words - 2)], rng.integers(0, 99, 2 * words), np.repeat(np.arange(words), 2))
+    ids = np.zeros((2, toxicity.WINDOW), np.int64)
+    ids[0, :5], ids[1] = rng.integers(1, words, 5), rng.integers(1, words, toxicity.WINDOW)
+    table, p = net.table(inputs), net.p
+    for n, own in enumerate(ids):
+        one = plain_gru(p, 0, [table[0][:, w] for w in own])
+        two = plain_gru(p, 1, [table[1][:, w] for w in own[::-1]])[::-1]
+        at = [np.r_[a, b] for a, b in zip(one, two)]
+        e = [0.0 if w == toxicity.PAD else float(np.exp(p["v"][0] @ np.tanh(p["A"] @ h + p["ba"][:, 0]))) for w, h in zip(own, at)]
+        pooled = sum(a / sum(e) * h for a, h in zip(e, at))
+        want = 1 / (1 + np.exp(-(p["c"][0] @ pooled + p["d"][0, 0])))
+        assert abs(net.scores(table, ids)[n] - want) < 1e-4
+
+
+def test_every_language_is_learned_from(docs_of, spark):
+    """300 languages of one to three documents each, one language with very many: each has its share of the sample."""
+    rows = [(k, f"text {k}", f"l{k % 300}") for k in range(700)] + [(1000 + k, f"text {k}", "big") for k in range(3000)] + [(1, "text 1", "l1"), (2, "other", "l2"), (None, "x", "no"), (5000, None, "no")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.sample(docs, 50).collect()
+    known = {(d, g) for d, t, g in rows if d is not None and t is not None and fold(d, 4) != 2}
+    per = {g: {d for d, g2 in known if g2 == g} for g in {g for _, g in known}}
+    have = {g: {r.doc_id for r in got if r.lang == g} for g in per}
+    assert len(got) == sum(map(len, have.values())) and all(have[g] == per[g] for g in per if g != "big")
+    assert len(have["big"]) == 50 and have["big"] <= per["big"] and len(per) > 250
