@@ -31,6 +31,8 @@ from .tokens import Encoder, crc_of
 
 MAGIC = b"RLTOK1\0\0"
 SAMPLE = 64
+ROWS_AT_ONCE = 8192
+_COLUMNS = ["doc_id", "start", "n_tokens", "ids_crc32"]
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, file_bytes long"
 
 
@@ -91,15 +93,6 @@ class EliasFano:
         chunk = int.from_bytes(self.low[a >> 3 : (b + 7) >> 3].tobytes(), "little")
         return (chunk >> (a & 7)) & ((1 << self.low_bits) - 1)
 
-    def decode(self) -> np.ndarray:
-        """All numbers, for a scan."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, -1)
-            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
-
 
 def shard_bytes(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     """Encodes documents sorted by id, nulls first."""
@@ -135,6 +128,14 @@ class Shard:
     def span(self, k: int) -> tuple[int, int]:
         return (self.ends.select(k - 1) if k else 0), self.ends.select(k)
 
+    def rows(self, first: int, last: int, base: int) -> Iterator[tuple[int | None, int, int, int]]:
+        """(doc_id, start, tokens, crc32) of documents ``first`` to ``last``, exclusive, after ``base`` ids of other shards."""
+        a = self.span(first)[0]
+        for k in range(first, last):
+            b = self.ends.select(k)
+            yield self.doc_id(k), base + a, b - a, crc_of(self.body[a:b])
+            a = b
+
     def tokens_of(self, k: int) -> np.ndarray:
         a, b = self.span(k)
         return self.body[a:b]
@@ -212,11 +213,9 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             store, at = _store(path)
             with store.open_input_stream(at) as f:
                 shard = Shard(f.read())
-            ends = shard.ends.decode().astype(np.int64)
-            starts = np.r_[0, ends[:-1]]
-            names = pd.array([None] * shard.nulls + [int(x) + shard.first for x in shard.ids.decode().tolist()], "Int64")
-            crc = [crc_of(shard.body[a:b]) for a, b in zip(starts, ends)]
-            yield pd.DataFrame({"doc_id": names, "start": starts + base, "n_tokens": ends - starts, "ids_crc32": crc})
+            # Offsets come one by one from the select structures; a table of them is never made.
+            for k in range(0, shard.n, ROWS_AT_ONCE):
+                yield pd.DataFrame(list(shard.rows(k, min(shard.n, k + ROWS_AT_ONCE), int(base))), columns=_COLUMNS).astype({"doc_id": "Int64"})
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
