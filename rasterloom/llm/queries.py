@@ -46,9 +46,9 @@ def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprint import edited_digests
+    from .fingerprint import grouped_digests
 
-    return edited_digests(table(spark, sf_dir, "documents"))
+    return grouped_digests(table(spark, sf_dir, "documents"))
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,53 @@ def test_odd_rows(odd):
     assert len(groups) == len(ODD)
 
 
+def test_hot_ids(docs_of):
+    """Rows without an id, and of one id, spread over buckets by a hash of their text; copies keep their number."""
+    import xxhash
+
+    docs = [(None, f"none {k % 40}") for k in range(90)] + [(7, f"Seven {k % 5}") for k in range(61)]
+    docs += [(2**63 - 1, f"top {k}") for k in range(9)] + [(k, f"text {k}") for k in range(30)] + [(11, None)]
+    key = lambda r: (r[0] is None, -(r[0] or 0), xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63 & 2**64 - 1)
+    order = sorted(docs, key=key)
+    want = []
+    for k, (d, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        e = edited(t, after)
+        want.append((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), float(canonical(t) == canonical(e)), float(canonical(t) == canonical(after))))
+    for rows in (3, 8, 25):
+        got = fingerprint.edited_digests(docs_of(docs), rows).collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got) == sorted(want)
+
+
+def test_more_copies_than_an_array_takes(docs_of, monkeypatch):
+    monkeypatch.setattr(fingerprint, "COPIES", 4)
+    docs = [(None, "same")] * 23 + [(1, "other")]
+    assert fingerprint.edited_digests(docs_of(docs), 5).count() == 24
+
+
+@pytest.mark.parametrize("hot_rows, broadcast_rows", [(10_000, 200_000), (2, 3), (2, 0)])
+def test_groups_reach_their_rows(docs_of, monkeypatch, hot_rows, broadcast_rows):
+    """The three ways in which groups meet rows give the same groups as a dictionary."""
+    monkeypatch.setattr(fingerprint, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(fingerprint, "BROADCAST_ROWS", broadcast_rows)
+    docs = [(k, f"A  text {max(0, k - 30) // 2}") for k in range(40)] + [(None, "no id"), (None, "No Id"), (3, "a text 0")]
+    want = {}
+    for d, t in docs:
+        want.setdefault(canonical(t), []).append(d)
+    expect = []
+    for ids in want.values():
+        low = min((d for d in ids if d is not None), default=None)
+        expect += [(str(d), str(low), len(ids)) for d in ids]
+    rows = fingerprint.grouped_digests(docs_of(docs)).collect()
+    assert sorted((str(r.doc_id), str(r.group_id), r.group_size) for r in rows) == sorted(expect)
+
+
+def test_groups_with_clashing_fingerprints(docs_of, monkeypatch):
+    monkeypatch.setattr(fingerprint, "digest", lambda canon: F.substring(canon, 1, 1))
+    rows = fingerprint.grouped_digests(docs_of([(k, f"text {k % 5}") for k in range(20)])).collect()
+    assert sorted((r.doc_id, r.group_id, r.group_size) for r in rows) == [(k, k % 5, 4) for k in range(20)]
+
+
 def test_empty_and_single(empty, docs_of):
     assert fingerprint.edited_digests(empty).count() == 0 and fingerprint.exact_groups(empty).count() == 0
     one = fingerprint.edited_digests(docs_of([(5, "abcd")])).collect()[0]
@@ -86,7 +133,10 @@ def test_query(spark, sf_dir):
     assert "Python" not in out._jdf.queryExecution().toString()
     rows = out.collect()
     assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in rows} == expected(docs)
-    texts, prints = dict(docs), {}
+    texts, prints, members = dict(docs), {}, {}
+    for d, t in docs:
+        members.setdefault(canonical(t), []).append(d)
+    assert all((r.group_id, r.group_size) == (min(m), len(m)) for r in rows for m in [members[canonical(texts[r.doc_id])]])
     for r in rows:
         prints.setdefault(r.fingerprint, set()).add(canonical(texts[r.doc_id]))
     assert all(len(p) == 1 for p in prints.values()) and len(prints) == len({canonical(t) for t in texts.values()})
