@@ -173,13 +173,74 @@ def _text_key():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two arrays of distinct values."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / max(1, len(both) - common)
+
+
+class Classes:
+    """Disjoint sets of 0 to n - 1, each named by its smallest member.
+
+    With ``sets``, only pairs whose sets have a similarity of ``level`` or more join.
+    """
+
+    def __init__(self, n: int, sets: list[np.ndarray] | None = None, level: float = LEVEL):
+        self.labels, self.sets, self.level = np.arange(n), sets, level
+        self.sizes = None if sets is None else np.fromiter(map(len, sets), np.int64, n)
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.labels[a] == self.labels[b]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Merges the classes of each pair; with ``sets``, a pair within one class needs no look."""
+        if self.sets is not None:
+            a, b = self._similar(a, b)
+        labels = self.labels
+        while True:
+            la, lb = labels[a], labels[b]
+            if (la == lb).all():
+                self.labels = labels
+                return
+            low = np.minimum(la, lb)
+            np.minimum.at(labels, la, low)
+            np.minimum.at(labels, lb, low)
+            while (labels[labels] != labels).any():
+                labels = labels[labels]
+
+    def _similar(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are similar enough and not joined by earlier ones."""
+        fits = np.minimum(self.sizes[a], self.sizes[b]) >= self.level * np.maximum(self.sizes[a], self.sizes[b]) - 1e-9
+        fits &= ~self.same(a, b)
+        a, b = a[fits], b[fits]
+        la, lb = self.labels[a].tolist(), self.labels[b].tolist()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        joins = []
+        for k, (x, y, rx, ry) in enumerate(zip(a.tolist(), b.tolist(), la, lb)):
+            rx, ry = root(rx), root(ry)
+            if rx != ry and jaccard(self.sets[x], self.sets[y]) >= self.level:
+                parent[max(rx, ry)] = min(rx, ry)
+                joins.append(k)
+        return a[joins], b[joins]
+
+
 class BKForest:
     """One BK-tree for each shard, all grown at once: level by level, without a Python loop over nodes.
 
-    fp: (n, words) of unsigned 64-bit words.
+    fp: (n, words) of unsigned 64-bit words.  Growing a tree compares each member
+    with all nodes above it; ``classes`` is told which of them lie within ``radius``.
+    A subtree whose members are of one class is ``whole`` from then on.
     """
 
-    def __init__(self, shard: np.ndarray, fp: np.ndarray, members: np.ndarray):
+    def __init__(self, shard: np.ndarray, fp: np.ndarray, members: np.ndarray, radius: int = RADIUS, classes: Classes | None = None):
         self.fp, n = fp, len(fp)
         self.bits = 64 * fp.shape[1]
         self.frontier = FRONTIER // fp.shape[1]
@@ -203,11 +264,19 @@ class BKForest:
             keep = ~head
             rest, owner = rest[keep], own[keep]
             label = self.distance(rest, owner)
+            if classes is not None:
+                near = label <= radius
+                classes.join(rest[near], owner[near])
             group = owner * (self.bits + 1) + label
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         key = cat(parents) * (self.bits + 1) + cat(edges)
         order = np.argsort(key, kind="stable")
         self.key, self.child = key[order], cat(nodes)[order]
+        self.radius, self.classes = radius, classes
+        if classes is not None:
+            self.whole = np.ones(n, bool)
+            for up, down in zip(parents[::-1], nodes[::-1]):
+                self.whole[up[~self.whole[down] | ~classes.same(up, down)]] = False
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty(len(a), np.int64)
@@ -216,8 +285,13 @@ class BKForest:
             out[own] = np.bitwise_count(self.fp[a[own]] ^ self.fp[b[own]]).sum(axis=1)
         return out
 
-    def search(self, query: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Yields blocks of (query, member) index pairs within ``radius``."""
+    def search(self, query: np.ndarray, shard: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Yields blocks of (query, member) index pairs within the radius.
+
+        With ``classes``, subtrees that are wholly of the query's own class are
+        passed over: nothing in them can join two classes.
+        """
+        radius = self.radius
         start = self.root[shard]
         stack = [(query[start >= 0], start[start >= 0])]
         while stack:
@@ -225,6 +299,9 @@ class BKForest:
             if len(q) > FRONTIER:
                 stack += [(q[i : i + FRONTIER], node[i : i + FRONTIER]) for i in range(0, len(q), FRONTIER)]
                 continue
+            if self.classes is not None:
+                open_ = ~(self.whole[node] & self.classes.same(q, node))
+                q, node = q[open_], node[open_]
             d = self.distance(q, node)
             near = d <= radius
             if near.any():
@@ -238,62 +315,20 @@ class BKForest:
                 stack.append((np.repeat(q, many), self.child[at]))
 
 
-def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merges the classes of each pair; labels point at the smallest index of a class."""
-    while True:
-        la, lb = labels[a], labels[b]
-        if (la == lb).all():
-            return labels
-        low = np.minimum(la, lb)
-        np.minimum.at(labels, la, low)
-        np.minimum.at(labels, lb, low)
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two arrays of distinct values."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return common / max(1, len(both) - common)
-
-
-def _verified(labels: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], level: float) -> np.ndarray:
-    """Merges the classes of the pairs whose sets are that similar; pairs within one class need no look."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    fits = np.minimum(sizes[a], sizes[b]) >= level * np.maximum(sizes[a], sizes[b]) - 1e-9
-    parent = labels.tolist()
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for x, y in zip(a[fits].tolist(), b[fits].tolist()):
-        rx, ry = root(x), root(y)
-        if rx != ry and jaccard(sets[x], sets[y]) >= level:
-            parent[max(rx, ry)] = min(rx, ry)
-    labels = np.array(parent, np.int64)
-    while (labels[labels] != labels).any():
-        labels = labels[labels]
-    return labels
-
-
 def forest_edges(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int = RADIUS, sets: list[np.ndarray] | None = None, level: float = LEVEL):
     """Edges of a spanning forest of all links; role: 0 tree only, 1 query only, 2 both.
 
     With ``sets``, only pairs whose sets have that similarity are links.
     """
-    trees = BKForest(shard, fp, np.flatnonzero(role != 1))
-    labels = np.arange(len(fp))
+    classes = Classes(len(fp), sets, level)
+    trees = BKForest(shard, fp, np.flatnonzero(role != 1), radius, classes)
     ask = np.flatnonzero(role != 0)
     for at in range(0, len(ask), 8192):
         own = ask[at : at + 8192]
-        for q, node in trees.search(own, shard[own], radius):
-            labels = _join(labels, q, node) if sets is None else _verified(labels, q, node, sets, level)
-    moved = np.flatnonzero(labels != np.arange(len(fp)))
-    return moved, labels[moved]
+        for q, node in trees.search(own, shard[own]):
+            classes.join(q, node)
+    moved = np.flatnonzero(classes.labels != np.arange(len(fp)))
+    return moved, classes.labels[moved]
 
 
 def _link(radius: int, level: float):

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -61,6 +62,57 @@ def test_links_equal_all_pairs(spark, shard_rows):
     assert {s: found.get(s, s) for s in signed} == want
 
 
+def plain_classes(shard, fp, meet, radius, sets=None, level=0.8):
+    """Classes by comparing all pairs of a shard that ``meet``."""
+    label = list(range(len(fp)))
+    for a in range(len(fp)):
+        for b in range(a):
+            bits = sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[a], fp[b]))
+            near = shard[a] == shard[b] and meet(a, b) and bits <= radius
+            if near and (sets is None or len(set(sets[a]) & set(sets[b])) >= level * len(set(sets[a]) | set(sets[b]))):
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    return [label.index(x) for x in label]
+
+
+@pytest.mark.parametrize("with_sets", [False, True])
+def test_forest_equals_all_pairs(with_sets):
+    rng = np.random.default_rng(8)
+    for case in range(30):
+        n = int(rng.integers(2, 70))
+        centres = rng.integers(0, 2**63, (4, 2)).astype(np.uint64)
+        fp = centres[rng.integers(0, 4, n)]
+        for k in range(n):
+            for bit in rng.integers(0, 128, rng.integers(0, 9)):
+                fp[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        shard = np.sort(rng.integers(0, 3, n))
+        role = np.full(n, 2) if case % 2 else rng.integers(0, 2, n)
+        sets = [np.unique(rng.choice(12, rng.integers(8, 13))).astype(np.uint64) for _ in range(n)] if with_sets else None
+        a, b = simhash.forest_edges(shard, fp, role, 6, sets)
+        label = np.arange(n)
+        label[a] = b
+        got = [int(np.flatnonzero(label == x)[0]) for x in label]
+        if case % 2:
+            assert got == plain_classes(shard, fp, lambda a, b: True, 6, sets)
+            continue
+        # Queries must meet the tree; that members of the tree link here as well is free, as they meet elsewhere.
+        least = plain_classes(shard, fp, lambda a, b: role[a] != role[b], 6, sets)
+        most = plain_classes(shard, fp, lambda a, b: role[a] + role[b] < 2, 6, sets)
+        assert all(got[k] == got[c] for k, c in enumerate(least)) and all(most[k] == most[c] for k, c in enumerate(got))
+
+
+def test_dense_group_is_not_compared_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(9)
+    fp = np.repeat(rng.integers(0, 2**63, (1, 32)).astype(np.uint64), 3000, axis=0)
+    fp[np.arange(3000), rng.integers(0, 32, 3000)] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    pairs, distance = [], simhash.BKForest.distance
+    monkeypatch.setattr(simhash.BKForest, "distance", lambda self, a, b: pairs.append(len(a)) or distance(self, a, b))
+    moved, to = simhash.forest_edges(np.zeros(3000, np.int64), fp, np.full(3000, 2), 390)
+    assert len(moved) == 2999 and set(to.tolist()) == {0}
+    # Growing the tree takes a comparison for each member and node above it, its search none.
+    assert sum(pairs) < 3000 * 3000 / 4
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(7, 7), (None, 3), (500, k := 200)]
