@@ -44,6 +44,7 @@ BATCH_ROWS = 65_536
 FRONTIER = 1 << 20
 SPREAD = 8
 HOT_ROWS, BROADCAST_ROWS = 10_000, 100_000
+CANDIDATE_ROWS = 1_000_000  # of two longs each: some 40 MB where they are broadcast
 SHINGLE, LEVEL = 5, 0.8
 WIDE_WORDS, BANDS, LINK_BANDS, SLACK = 32, 8, 16, 5.0
 BATCH_BYTES = 64 << 20
@@ -398,10 +399,17 @@ def similar_links(prints: DataFrame, level: float = LEVEL, shard_rows: int = SHA
     rows = rows.join(shared, "shard").join(texts.select("fp", "text_key", "wide"), ["fp", "text_key"]).drop("text_key")
     candidates = _linked(rows, wide_radius(level), shard_rows)
     groups = connected_components(candidates).select(F.col("node").alias("fp"), F.col("component").alias("shard"))
-    # Copies fold before the join, so no fingerprint is hot in it.
-    bodies = prints.select("fp", "text_key", "wide", "text").dropDuplicates(["fp", "text_key"])
+    groups = materialize(groups, "simhash-candidates")
+    bodies = prints.select("fp", "text_key", "wide", "text")
+    if groups.count() <= CANDIDATE_ROWS:
+        # Texts without a candidate stay where they are; copies fold in their partitions before they travel.
+        bodies = bodies.join(F.broadcast(groups), "fp").dropDuplicates(["fp", "text_key"])
+    else:
+        # Each different text travels once: it folds by the keys that it then joins by, so no fingerprint is hot.
+        named = texts.select("fp", "text_key").join(groups, "fp")
+        bodies = bodies.dropDuplicates(["fp", "text_key"]).join(named, ["fp", "text_key"])
     small_batches(prints.sparkSession)
-    bodies = bodies.join(groups, "fp").select("shard", "fp", "wide", "text")
+    bodies = bodies.select("shard", "fp", "wide", "text")
     grams = materialize(bodies.mapInPandas(_with_shingles, "shard long, fp long, wide binary, grams binary"), "simhash-grams")
     return _linked(grams, wide_radius(level), shard_rows, level)
 

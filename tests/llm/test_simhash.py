@@ -233,9 +233,10 @@ def test_similar_texts_link(spark, docs_of, shard_rows):
                 assert low[a] == low[b], (a, b, similarity(x, y))
 
 
-@pytest.mark.parametrize("shard_rows", [4, 4096])
-def test_links_are_exact(spark, docs_of, shard_rows):
+@pytest.mark.parametrize("shard_rows, broadcast", [(4, 10**6), (4096, 10**6), (4096, 0)])
+def test_links_are_exact(spark, docs_of, monkeypatch, shard_rows, broadcast):
     """Pairs of every similarity from 0.6 to 0.95: exactly those of 0.8 or more are linked."""
+    monkeypatch.setattr(simhash, "CANDIDATE_ROWS", broadcast)
     rng = random.Random(3)
     texts = []
     for k in range(240):
