@@ -89,35 +89,40 @@ def runs(c: str) -> list[str]:
 
 def telling(with_0: np.ndarray, with_1: np.ndarray, n0: int, n1: int, most: int) -> np.ndarray:
     """Indices of features whose share of documents differs between the labels, most telling first."""
-    p = (with_0 + with_1 + 1) / (n0 + n1 + 2)
-    z = np.abs(with_1 / n1 - with_0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    z[with_0 + with_1 < LEAST_DOCS] = 0
-    order = np.lexsort((np.arange(len(z)), -z))[:most]
-    return order[z[order] >= LEAST_Z]
+    known = np.flatnonzero(with_0 + with_1 >= LEAST_DOCS)
+    a, b = with_0[known], with_1[known]
+    p = (a + b + 1) / (n0 + n1 + 2)
+    z = np.abs(b / n1 - a / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    order = np.lexsort((known, -z))[:most]
+    return known[order[z[order] >= LEAST_Z]]
 
 
-def lexicon(words: list[set[str]], y: np.ndarray) -> dict[str, dict[str, int]]:
-    """Row of each telling word and character run in sets of marked forms; row 0 is for all others."""
-    forms = sorted(set().union(*words)) if words else []
-    place = {w: k for k, w in enumerate(forms)}
+def lexicon(forms: list[str], docs: list[np.ndarray], y: np.ndarray) -> dict[str, dict[str, int]]:
+    """Row of each telling word and character run; row 0 is for all others.
+
+    forms: distinct marked forms in order; docs: the places in it of each document's own, each once.
+    """
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    spell = [np.array([zlib.crc32(r.encode("utf-8", "replace")) & ((1 << GRAM_BITS) - 1) for r in runs(w)], np.int32) for w in forms]
+    sizes = np.array([sum(max(0, len(w) - n + 1) for n in GRAM_SIZES) for w in forms], np.int64)
+    ends = np.r_[0, np.cumsum(sizes)]
+    spell = (zlib.crc32(r.encode("utf-8", "replace")) & ((1 << GRAM_BITS) - 1) for w in forms for r in runs(w))
+    hashes, spell = np.unique(np.fromiter(spell, np.int32, int(ends[-1])), return_inverse=True)
     word_n = np.zeros((2, len(forms)), np.int32)
-    run_n = np.zeros((2, 1 << GRAM_BITS), np.int32)
-    for own, label in zip(words, y.tolist()):
-        at = [place[w] for w in own]
+    run_n = np.zeros((2, len(hashes)), np.int32)
+    for at, label in zip(docs, y.tolist()):
         word_n[label, at] += 1
-        run_n[label, np.unique(np.concatenate([spell[k] for k in at]))] += 1 if at else 0
+        flat = np.repeat(ends[at + 1] - np.cumsum(sizes[at]), sizes[at]) + np.arange(sizes[at].sum())
+        run_n[label, np.unique(spell[flat])] += 1
     best = telling(word_n[0], word_n[1], n0, n1, WORDS - 1)
     rows = {forms[k][1:-1]: i + 1 for i, k in enumerate(best.tolist()) if len(forms[k]) > 2 and forms[k][0] + forms[k][-1] == "<>"}
-    chosen = np.zeros(1 << GRAM_BITS, bool)
+    chosen = np.zeros(len(hashes), bool)
     chosen[telling(run_n[0], run_n[1], n0, n1, GRAMS - 1)] = True
+    chosen = chosen[spell]
     grams: dict[str, int] = {}
-    for w, own in zip(forms, spell):
-        if chosen[own].any():
-            for r, k in zip(runs(w), own.tolist()):
-                if chosen[k] and len(grams) < GRAMS - 1:
-                    grams.setdefault(r, len(grams) + 1)
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(chosen), "right") - 1).tolist():
+        for r, ok in zip(runs(forms[k]), chosen[ends[k] : ends[k + 1]].tolist()):
+            if ok and len(grams) < GRAMS - 1:
+                grams.setdefault(r, len(grams) + 1)
     return {"words": rows, "runs": grams}
 
 
@@ -344,14 +349,19 @@ def learn(pdf: pd.DataFrame) -> Model:
     y = np.zeros(len(names), np.int64)
     y[doc] = pdf["y"].to_numpy()
     late = np.arange(len(names)) % 3 == 2  # these documents only fit the pooling
-    words = [text.split() for text in pdf["words"]]
-    seen: list[set[str]] = [set() for _ in names]
-    for k, own in zip(doc.tolist(), words):
-        seen[k].update(map(marked, own))
-    vocab = Vocabulary(lexicon([x for x, o in zip(seen, late) if not o], y[~late]))
+    index: dict[str, int] = {}  # each distinct word is held once; windows are numbers
+    words = [np.array([index.setdefault(w, len(index)) for w in text.split()], np.int32) for text in pdf["words"]]
+    form = list(map(marked, index))
+    first = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, np.int64)
+    seen = [np.unique(np.concatenate(words[a:b])) for a, b, o in zip(first[:-1].tolist(), first[1:].tolist(), late) if not o]
+    forms = sorted({form[w] for own in seen for w in own.tolist()})
+    place = {w: k for k, w in enumerate(forms)}
+    at = np.array([place.get(w, -1) for w in form], np.int64)
+    vocab = Vocabulary(lexicon(forms, [np.unique(at[own]) for own in seen], y[~late]))
+    number = vocab.ids(list(index))
     ids = np.zeros((len(pdf), WINDOW), np.int64)
     for k, own in enumerate(words):
-        ids[k, : len(own)] = vocab.ids(own)
+        ids[k, : len(own)] = number[own]
     early = ~late[doc]
     net = train(ids[early], doc[early], y, vocab)
     x = pool(doc, net.scores(net.table(vocab.inputs()), ids), len(names))

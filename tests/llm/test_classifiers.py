@@ -1,8 +1,10 @@
 """op2, op3 and op8: gradients by finite differences, held-out accuracy, odd rows."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rasterloom.llm import langid, neural, quality_mil, toxicity
@@ -93,6 +95,19 @@ def test_long_words_are_read_whole(models):
     assert scorer(["/".join(text)]) == scorer([" ".join(text)]) != scorer([" ".join(text[:12])])
 
 
+def test_fit_takes_little_memory_on_the_driver(monkeypatch):
+    """The lexicon grows with the sample's own words, not with the range of their hashes; a text without words is learned from too."""
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    rows = [(k, k % 2, 0, f"some words {k % 7} " + ("badword" if k % 2 else "goodword") if k else "") for k in range(120)]
+    tracemalloc.start()
+    try:
+        params, rows = toxicity.learn(pd.DataFrame(rows, columns=["doc_id", "y", "k", "words"]))
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+    assert set(rows["words"]) == {"badword", "goodword"} and {"<bad", "good"} <= set(rows["runs"])
+
+
 def test_every_window_is_scored(models):
     """Against one row for each window of 32 words, with a passage at all offsets."""
     scorer = toxicity.Scorer(models[1])
