@@ -45,7 +45,21 @@ def gru_params(rng: np.random.Generator, hidden: int) -> dict[str, np.ndarray]:
     return {"U": uniform(rng, 2, 3 * hidden, hidden), "bn": np.zeros((2, hidden, 1), f32)}
 
 
-def gru_forward(p: dict, gates: Callable[[int, np.ndarray], None], steps: int, batch: int, keep: bool):
+def even_product(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """``a @ b``, each column of ``b`` by itself: equal columns get equal sums wherever they stand, which BLAS does not give."""
+    if b.shape[-1] == 1:  # a single column would be summed in another order
+        two = even_product(a, np.repeat(b, 2, axis=-1))[..., :1]
+        return two if out is None else np.copyto(out, two) or out
+    return np.einsum("...ik,...kn->...in", np.ascontiguousarray(a), np.ascontiguousarray(b), out=out)
+
+
+def row_product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, each row of ``x`` by itself."""
+    out = even_product(np.atleast_2d(w.T), x.T).T
+    return np.ascontiguousarray(out[:, 0] if w.ndim == 1 else out)
+
+
+def gru_forward(p: dict, gates: Callable[[int, np.ndarray], None], steps: int, batch: int, keep: bool, product: Callable = np.matmul):
     """Runs both directions over ``steps``; ``gates(t, out)`` fills the input gates (2, 3H, batch), whose first
     direction is position t and whose second is position steps-1-t.
 
@@ -61,7 +75,7 @@ def gru_forward(p: dict, gates: Callable[[int, np.ndarray], None], steps: int, b
     zr, n = np.empty((2, 2 * H, batch), f32), np.empty((2, H, batch), f32)
     for t in range(steps):
         gates(t, x)
-        np.matmul(U, h, out=g)
+        product(U, h, out=g)
         np.multiply(x[:, : 2 * H], f32(0.5), out=zr)
         zr += g[:, : 2 * H]
         np.tanh(zr, out=zr)

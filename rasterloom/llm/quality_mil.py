@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neural import Adam, f32, labelled_sample, uniform
+from .neural import Adam, f32, labelled_sample, row_product, uniform
 from .storage import small_batches
 
 PASSAGE = 64
@@ -94,8 +94,6 @@ def encode(texts: list[str | None], words: Words | None = None) -> tuple[np.ndar
         fresh.append(first)
     ids, at, new = np.concatenate(parts), np.concatenate(passage), np.concatenate(fresh)
     out = np.zeros((n, FEATURES), f32)
-    if not len(ids):
-        return out, np.concatenate(owner)
     code = np.array(words.codes, np.int64)[ids]
     size = np.maximum(np.bincount(at, minlength=n), 1)[:, None]
     out[:, :BUCKETS] = np.bincount(at * BUCKETS + (code & 255), minlength=n * BUCKETS).reshape(n, -1) / size * 8
@@ -117,15 +115,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def forward(p: dict, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple:
+def forward(p: dict, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, product: Callable = np.matmul) -> tuple:
     """Bags are consecutive rows of ``x``; returns each bag's logit and what backward needs."""
-    h = np.tanh(x @ p["W"] + p["b"])
-    t, s = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
-    e = (t * s) @ p["w"]
+    h = np.tanh(product(x, p["W"]) + p["b"])
+    t, s = np.tanh(product(h, p["V"])), sigmoid(product(h, p["U"]))
+    e = product(t * s, p["w"])
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
     a = e / np.repeat(np.add.reduceat(e, starts), sizes)
     z = np.add.reduceat(a[:, None] * h, starts)
-    return z @ p["c"] + p["d"][0], (h, t, s, a, z)
+    return product(z, p["c"]) + p["d"][0], (h, t, s, a, z)
 
 
 def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> dict[str, np.ndarray]:
@@ -192,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, passages
 def scores(texts: list[str | None], p: dict[str, np.ndarray], words: Words | None = None) -> np.ndarray:
     x, owner = encode(texts, words)
     sizes = np.bincount(owner)
-    return sigmoid(forward(p, x, np.cumsum(sizes) - sizes, sizes)[0].astype(float))
+    return sigmoid(forward(p, x, np.cumsum(sizes) - sizes, sizes, row_product)[0].astype(float))
 
 
 def _score(p: dict):

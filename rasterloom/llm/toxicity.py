@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neural import Adam, column_sums, f32, gru_backward, gru_forward, gru_params, labelled_sample, uniform
+from .neural import Adam, column_sums, even_product, f32, gru_backward, gru_forward, gru_params, labelled_sample, uniform
 from .storage import small_batches
 
 WINDOW, STRIDE = 32, 24
@@ -200,31 +200,35 @@ class Network:
 
     def table(self, inputs: tuple) -> np.ndarray:
         """Input gates of each word: (2, 3H, words)."""
-        return self.p["X"] @ self.embed(*inputs)[0] + self.p["bx"]
+        return even_product(self.p["X"], self.embed(*inputs)[0]) + self.p["bx"]
 
     def forward(self, table: np.ndarray, seq: np.ndarray, keep: bool) -> tuple:
-        """seq (WINDOW, n) of columns of ``table``; returns the logit of each window and what backward needs."""
+        """seq (WINDOW, n) of columns of ``table``; returns the logit of each window and what backward needs.
+
+        Unless kept for backward, a window's logit does not depend on the others (n of 2 or more).
+        """
         n = seq.shape[1]
+        product = np.matmul if keep else even_product
 
         def gates(t: int, out: np.ndarray) -> None:
             np.take(table[0], seq[t], axis=1, out=out[0], mode="clip")
             np.take(table[1], seq[WINDOW - 1 - t], axis=1, out=out[1], mode="clip")
 
         at, saved = np.empty((WINDOW, 2, HIDDEN, n), f32), []
-        for t, h, s in gru_forward(self.p, gates, WINDOW, n, keep):
+        for t, h, s in gru_forward(self.p, gates, WINDOW, n, keep, product):
             at[t, 0], at[WINDOW - 1 - t, 1] = h[0], h[1]
             saved.append(s)
         at = at.reshape(WINDOW, 2 * HIDDEN, n)
-        u = np.matmul(self.p["A"], at)
+        u = product(self.p["A"], at)
         u += self.p["ba"]
         np.tanh(u, out=u)
-        e = np.matmul(self.p["v"], u)[:, 0]
+        e = product(self.p["v"], u)[:, 0]
         e[seq == PAD] = -30.0
         e -= e.max(axis=0)
         np.exp(e, out=e)
         e /= e.sum(axis=0)
         pooled = (at * e[:, None]).sum(axis=0)
-        logit = (self.p["c"] @ pooled + self.p["d"])[0]
+        logit = (product(self.p["c"], pooled) + self.p["d"])[0]
         return logit, (at, u, e, pooled, saved)
 
     def gradients(self, inputs: tuple, seq: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -257,7 +261,7 @@ class Network:
         with np.errstate(over="ignore"):
             key = (ids.astype(np.uint64) * MIX).sum(axis=1, dtype=np.uint64)
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        ids = ids[first]
+        ids = ids[np.r_[first, first[:1]] if len(first) % WIDE == 1 else first]  # no block of one window
         out = np.empty(len(ids), f32)
         for at in range(0, len(ids), WIDE):
             seq = np.ascontiguousarray(ids[at : at + WIDE].T)
@@ -413,7 +417,7 @@ class Scorer:
         if len(self.vocab.parts) > MOST_PARTS:
             self._reset()
         x = pool(np.repeat(np.arange(len(texts)), many), np.concatenate(scored).astype(float), len(texts))
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((x * self.weights).sum(axis=1), -30, 30)))
 
 
 def _score(model: Model):

@@ -108,6 +108,18 @@ def test_fit_takes_little_memory_on_the_driver(monkeypatch):
     assert set(rows["words"]) == {"badword", "goodword"} and {"<bad", "good"} <= set(rows["runs"])
 
 
+def test_equal_texts_score_the_same_among_others(models):
+    """To the last bit, alone and at any place of batches of any size."""
+    for text in ("one two three", "", "a text of some more words " * 30):
+        for score in (lambda x: quality_mil.scores(x, models[0]), lambda x: toxicity.Scorer(models[1])(x)):
+            want = score([text])[0]
+            for n in (2, 3, 5, 8, 13, 37, 64, 100):
+                for at in (0, n // 2, n - 1):
+                    batch = [f"words number {k} " + "and more " * (k % 23) for k in range(n)]
+                    batch[at] = text
+                    assert score(batch)[at] == want, (text, n, at)
+
+
 def test_every_window_is_scored(models):
     """Against one row for each window of 32 words, with a passage at all offsets."""
     scorer = toxicity.Scorer(models[1])
