@@ -79,12 +79,12 @@ def _lift_l1(spark, d, kind: str) -> DataFrame:
     return lifting.lift_windows(_v(rasters.events(spark, d)), EV.with_(filter=kind), levels=1)
 
 
-def _lift_full(spark, d, kind: str) -> DataFrame:
-    return lifting.lift(_v(rasters.embeddings(spark, d)), EMB.with_(filter=kind))
+def _lift_full(spark, d, kind: str, by_place: bool = False) -> DataFrame:
+    return lifting.lift(_v(rasters.embeddings(spark, d)), EMB.with_(filter=kind), by_place=by_place)
 
 
 def _unlift(spark, d, kind: str) -> DataFrame:
-    return lifting.unlift(_lift_full(spark, d, kind), EMB.with_(filter=kind)).withColumnRenamed("v", "sample")
+    return lifting.unlift(_lift_full(spark, d, kind, True), EMB.with_(filter=kind), by_place=True).withColumnRenamed("v", "sample")
 
 
 def unlift_windows_l1(spark, d):

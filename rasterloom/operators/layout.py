@@ -2,7 +2,8 @@
 
 * interleaved: ``image_id, pos, sample``: channels of a pixel side by side, layers one after another;
 * long: ``image_id, c, y, x, v``;
-* packed: ``image_id, c, v ARRAY<INT>`` row by row, what the array kernels take.
+* packed: ``image_id, c, v ARRAY<INT>`` row by row, what the array kernels take.  An incomplete plane has the cells that
+  are there and ``pos``, their places (null for a whole plane), on its way to the kernels, and ``ABSENT`` elsewhere on its way back.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import ABSENT
 from ..spec import Spec
 
 
 def clip_byte(v: Column) -> Column:
-    return F.least(F.lit(255), F.greatest(F.lit(0), v)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(255), v)).cast("int")  # in this order as in SQL, where it tells for a null
 
 
 def interleaved_position(spec: Spec) -> Column:
@@ -60,11 +62,13 @@ def packed(cells: DataFrame, spec: Spec, value: str = "v") -> DataFrame:
     """One row per plane: the only shuffle of the array path."""
     pos = F.expr(f"y * cast({spec.width} as bigint) + x")
     rows = cells.groupBy("image_id", "c").agg(F.sort_array(F.collect_list(F.struct(pos.alias("pos"), F.col(value).alias("v")))).alias("cells"))
-    return rows.select("image_id", "c", F.col("cells.v").alias("v"))
+    n = spec.channel_size
+    whole = (F.size("cells") == n) & (F.element_at("cells", -1)["pos"] == n - 1)
+    return rows.select("image_id", "c", F.col("cells.v").alias("v"), F.when(~whole, F.col("cells.pos")).alias("pos"))
 
 
 def unpacked(planes: DataFrame, width: int, value: str = "v") -> DataFrame:
-    cells = planes.select("image_id", "c", F.posexplode("v").alias("pos", value))
+    cells = planes.select("image_id", "c", F.posexplode("v").alias("pos", value)).where(~F.col(value).eqNullSafe(ABSENT))
     return cells.select("image_id", "c", F.expr(f"cast(pos div {width} as int)").alias("y"), F.expr(f"cast(pos % {width} as int)").alias("x"), value)
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,24 +68,25 @@ def unlift_windows(cells: DataFrame, spec: Spec, levels: int | None = None) -> D
     return out
 
 
-def over_planes(planes: DataFrame, height: int, width: int, change) -> DataFrame:
-    """Applies ``change(plane, c)`` to each packed plane; an Arrow batch holds few planes."""
+def over_planes(planes: DataFrame, height: int, width: int, change, by_place: bool = False) -> DataFrame:
+    """Applies ``change(plane, c)`` to each packed plane; an Arrow batch holds few planes.  ``by_place``: see ``kernels.Cells``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            new = [change(np.asarray(v, np.int32).reshape(height, width), c).ravel() for v, c in zip(rows["v"], rows["c"])]
-            yield rows.assign(v=new)
+            planes_in = (kernels.plane_of(v, pos, height, width, by_place) for v, pos in zip(rows["v"], rows["pos"]))
+            new = [change(p, c).ravel() for p, c in zip(planes_in, rows["c"])]
+            yield rows[["image_id", "c"]].assign(v=new)
 
     return planes.mapInPandas(run, "image_id bigint, c int, v array<int>")
 
 
-def lift(cells: DataFrame, spec: Spec, levels: int | None = None) -> DataFrame:
+def lift(cells: DataFrame, spec: Spec, levels: int | None = None, by_place: bool = False) -> DataFrame:
     kind = spec.filter
-    planes = over_planes(packed(cells, spec), spec.height, spec.width, lambda p, c: kernels.lift(p, kind, levels))
+    planes = over_planes(packed(cells, spec), spec.height, spec.width, lambda p, c: kernels.lift(p, kind, levels), by_place)
     return unpacked(planes, spec.width)
 
 
-def unlift(cells: DataFrame, spec: Spec) -> DataFrame:
+def unlift(cells: DataFrame, spec: Spec, by_place: bool = False) -> DataFrame:
     kind = spec.filter
-    planes = over_planes(packed(cells, spec), spec.height, spec.width, lambda p, c: kernels.unlift(p, kind))
+    planes = over_planes(packed(cells, spec), spec.height, spec.width, lambda p, c: kernels.unlift(p, kind), by_place)
     return unpacked(planes, spec.width)

@@ -29,8 +29,7 @@ def lossy(cells: DataFrame, spec: Spec, chroma: list[bool] | None = None) -> Dat
     flags = chroma or [False] * (spec.channels * spec.layers)
 
     def there_and_back(plane, c):
-        coded = container.transform(spec, plane[None], [flags[c]])
-        return container.untransform(spec, coded, [flags[c]])[0]
+        return container.untransform_plane(spec, container.transform_plane(spec, plane, flags[c]), flags[c])
 
     back = unpacked(over_planes(packed(boosted(cells, spec), spec), spec.height, spec.width, there_and_back), spec.width)
     return back.select("image_id", "c", "y", "x", clip_byte(F.expr(f"v div {spec.boost}")).alias("sample"))
