@@ -94,8 +94,8 @@ def unlift_windows_l1(spark, d):
 
 def text_lift_l1(spark, d):
     """One level of lifting of each text's bytes, as images of one row: sums per text."""
-    rows = lifting.lift_windows(_v(rasters.text_bytes(spark, d)), Spec(1 << 20, 1), levels=1)
-    return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("x") + 1).cast("bigint")).alias("weighted"))
+    rows = lifting.lift_line_sums(rasters.text_lines(spark, d))
+    return rows.groupBy("image_id").agg(*[F.sum(n).alias(n) for n in ("n", "total", "weighted")])
 
 
 def quantize_q124(spark, d):

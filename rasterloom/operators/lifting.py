@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,25 @@ def unlift_windows(cells: DataFrame, spec: Spec, levels: int | None = None) -> D
     return out
 
 
+def lift_line_sums(lines: DataFrame) -> DataFrame:
+    """One linear level of images of one row given as bytes (image_id, data): image_id, n, total, weighted.
+
+    What sums of ``lift_windows`` with ``levels=1`` give, without a row for each cell; an image without bytes has no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            data = rows.column(1).cast(pa.large_binary())
+            offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+            full = np.diff(offsets) > 0
+            if full.any():
+                starts = np.append(offsets[:-1][full], offsets[-1])
+                total, weighted = kernels.lift_line_sums(np.frombuffer(data.buffers()[2], np.uint8), starts)
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(full)), *map(pa.array, (np.diff(starts), total, weighted))], ["image_id", "n", "total", "weighted"])
+
+    return lines.where("data is not null").select("image_id", "data").mapInArrow(run, "image_id bigint, n bigint, total bigint, weighted bigint")
+
+
 def over_planes(planes: DataFrame, height: int, width: int, change, by_place: bool = False) -> DataFrame:
     """Applies ``change(plane, c)`` to each packed plane; an Arrow batch holds few planes.  ``by_place``: see ``kernels.Cells``."""
 

@@ -63,8 +63,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_pixels(spark, sf_dir).selectExpr("image_id", "stack(3, 0, raw0, 1, raw1, 2, raw2) as (c, sample)", "y", "x").select("image_id", "c", "y", "x", "sample")
 
 
-def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text's UTF-8 bytes are an image of one row; lengths differ."""
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text's UTF-8 bytes are an image of one row, not yet a row for each sample: ``image_id, data``."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pairs = rows.select(F.col("doc_id").alias("image_id"), F.posexplode(F.expr("regexp_extract_all(hex(encode(text, 'UTF-8')), '..', 0)")).alias("x", "two"))
+    return rows.select(F.col("doc_id").cast("bigint").alias("image_id"), F.encode("text", "UTF-8").alias("data"))
+
+
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in long form; lengths differ."""
+    pairs = text_lines(spark, sf_dir).select("image_id", F.posexplode(F.expr("regexp_extract_all(hex(data), '..', 0)")).alias("x", "two"))
     return pairs.select("image_id", _int("0", "c"), _int("0", "y"), "x", _int("conv(two, 16, 10)", "sample"))
